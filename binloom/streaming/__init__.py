@@ -1,0 +1 @@
+"""Intentionally empty: the analyses covered by this package have no streaming source or sink."""
