@@ -118,59 +118,58 @@ def region_masks(
     return parts.groupBy(key, "n_bins").agg(*[F.bit_or(n).alias(n) for n in names])
 
 
-def _coverage(mark: str, stage: str) -> Column:
-    return ratio(bits.ones(F.col(mask_name(mark, stage))), F.col("n_bins"))
-
-
-def _spatial(mark: str, stage: str) -> list[Column]:
-    mask, count = F.col(mask_name(mark, stage)), F.col("n_bins")
-    total = bits.ones(mask)
-    centre = ratio(bits.position_sum(mask) + total, total * count)
-    change = ratio(bits.n_changes(mask, count), count - 1)
-    values = [
-        _coverage(mark, stage),
-        bits.n_runs(mask).cast("double"),
-        bits.longest_run(mask).cast("double"),
-        centre,
-        change,
+def _quotient(top: str, bottom: str) -> str:
+    return f"try_divide(cast({top} as double), cast({bottom} as double))"
+
+
+def _spatial(mark: str, stage: str) -> dict[str, str]:
+    mask = f"`{mask_name(mark, stage)}`"
+    count = f"bit_count({mask})"
+    starts = f"{mask} & ~shiftleft({mask}, 1)"
+    digits = [
+        f"bit_count({mask} & {sum(1 << i for i in range(bits.REGION_BITS) if i >> d & 1)}) * {1 << d}"
+        for d in range(6)
     ]
-    return [v.alias(f"{mark}_{stage}_{stat}") for v, stat in zip(values, SPATIAL)]
+    changes = f"bit_count(({mask} ^ shiftright({mask}, 1)) & (shiftleft(1L, n_bins - 1) - 1))"
+    values = (
+        _quotient(count, "n_bins"),
+        f"cast(bit_count({starts}) as double)",
+        f"cast(array_max(transform(split(bin({mask}), '0'), r -> length(r))) as double)",
+        _quotient(f"{' + '.join(digits)} + {count}", f"{count} * n_bins"),
+        _quotient(changes, "n_bins - 1"),
+    )
+    return {f"{mark}_{stage}_{stat}": value for stat, value in zip(SPATIAL, values)}
 
 
-def _temporal(mark: str, stages: Sequence[str]) -> list[Column]:
-    full = bits.low_bits(F.col("n_bins"))
-    out = []
+def _temporal(mark: str, stages: Sequence[str]) -> dict[str, str]:
+    masks = [f"`{mask_name(mark, s)}`" for s in stages]
+    out = {}
     for pattern in PATTERNS:
-        chosen = full
-        for stage, flag in zip(stages, pattern):
-            mask = F.col(mask_name(mark, stage))
-            chosen = chosen.bitwiseAND(mask if flag == "1" else F.bitwise_not(mask))
-        out.append(ratio(bits.ones(chosen), F.col("n_bins")).alias(f"{mark}_pattern_{pattern}"))
-    for before, after in zip(stages, stages[1:]):
-        out.append(
-            (_coverage(mark, after) - _coverage(mark, before)).alias(f"{mark}_delta_cov_{after}_{before}")
-        )
+        chosen = " & ".join(m if flag == "1" else f"~{m}" for m, flag in zip(masks, pattern))
+        share = _quotient(f"bit_count({chosen} & (shiftleft(1L, n_bins) - 1))", "n_bins")
+        out[f"{mark}_pattern_{pattern}"] = share
+    for (s0, m0), (s1, m1) in zip(zip(stages, masks), zip(stages[1:], masks[1:])):
+        out[f"{mark}_delta_cov_{s1}_{s0}"] = _quotient(f"bit_count({m1}) - bit_count({m0})", "n_bins")
     return out
 
 
-def _jaccard(a: str, b: str, stage: str) -> Column:
-    left, right = F.col(mask_name(a, stage)), F.col(mask_name(b, stage))
-    return ratio(bits.ones(left.bitwiseAND(right)), bits.ones(left.bitwiseOR(right)))
+def _jaccard(a: str, b: str, stage: str) -> str:
+    left, right = f"`{mask_name(a, stage)}`", f"`{mask_name(b, stage)}`"
+    return _quotient(f"bit_count({left} & {right})", f"bit_count({left} | {right})")
 
 
-def _delta_counts(mark: str, stages: Sequence[str]) -> list[Column]:
-    counts = [bits.ones(F.col(mask_name(mark, s))) for s in stages]
-    return [after - before for before, after in zip(counts, counts[1:])]
+def _concordance(a: str, b: str, stages: Sequence[str]) -> str:
+    """Cosine of the two change vectors; a mark without change gives 0."""
 
+    def steps(mark: str) -> list[str]:
+        counts = [f"bit_count(`{mask_name(mark, s)}`)" for s in stages]
+        return [f"({after} - {before})" for before, after in zip(counts, counts[1:])]
 
-def _concordance(a: str, b: str, stages: Sequence[str]) -> Column:
-    """Cosine of the two change vectors; a mark without change gives 0."""
-    da, db = _delta_counts(a, stages), _delta_counts(b, stages)
-    dot = sum((x * y for x, y in zip(da, db)), F.lit(0))
-    norm_a = sum((x * x for x in da), F.lit(0))
-    norm_b = sum((y * y for y in db), F.lit(0))
-    cosine = ratio(dot, F.sqrt(norm_a * norm_b))
-    return F.coalesce(F.greatest(F.least(cosine, F.lit(1.0)), F.lit(-1.0)), F.lit(0.0))
+    da, db = steps(a), steps(b)
+    dot = " + ".join(f"{x} * {y}" for x, y in zip(da, db))
+    norms = [" + ".join(f"{x} * {x}" for x in d) for d in (da, db)]
+    cosine = _quotient(f"({dot})", f"sqrt(({norms[0]}) * ({norms[1]}))")
+    return f"greatest(least(coalesce({cosine}, 0D), 1D), -1D)"
 
 
 def features_from_masks(
@@ -180,20 +179,23 @@ def features_from_masks(
     stages: Sequence[str] = STAGES,
 ) -> DataFrame:
     """All features of ``feature_names`` as double columns next to the region key."""
-    columns = [c for m in marks for s in stages for c in _spatial(m, s)]
-    columns += [c for m in marks for c in _temporal(m, stages)]
     pairs = list(combinations(marks, 2))
+    columns: dict[str, str] = {}
+    for mark in marks:
+        for stage in stages:
+            columns |= _spatial(mark, stage)
+        columns |= _temporal(mark, stages)
     for stage in stages:
-        columns += [_jaccard(a, b, stage).alias(f"{a}_vs_{b}_{stage}_jaccard") for a, b in pairs]
-    hdc = [_concordance(a, b, stages).alias(f"HDC_{a}_vs_{b}_cos") for a, b in pairs]
-    wide = masks.select(key, *columns, *hdc)
-    means = {}
+        columns |= {f"{a}_vs_{b}_{stage}_jaccard": _jaccard(a, b, stage) for a, b in pairs}
+    columns |= {f"HDC_{a}_vs_{b}_cos": _concordance(a, b, stages) for a, b in pairs}
+    wide = masks.selectExpr(key, *[f"{value} AS `{name}`" for name, value in columns.items()])
+    means = []
     for stage in stages:
-        values = F.array(*[F.col(f"{a}_vs_{b}_{stage}_jaccard") for a, b in pairs])
-        known = F.filter(values, lambda v: v.isNotNull())
-        total = F.aggregate(known, F.lit(0.0), lambda s, v: s + v)
-        means[f"mean_jaccard_{stage}"] = ratio(total, F.size(known))
-    return wide.withColumns(means).select(key, *feature_names(marks, stages))
+        known = ", ".join(f"`{a}_vs_{b}_{stage}_jaccard`" for a, b in pairs)
+        known = f"filter(array({known}), v -> v is not null)"
+        total = f"aggregate({known}, 0D, (s, v) -> s + v)"
+        means.append(f"{_quotient(total, f'size({known})')} AS `mean_jaccard_{stage}`")
+    return wide.selectExpr("*", *means).select(key, *feature_names(marks, stages))
 
 
 def region_features(regions: DataFrame, words: DataFrame, key: str = "roi", **kwargs) -> DataFrame:

@@ -60,8 +60,8 @@ def position_chunk(position: str | Column, width: int) -> Column:
     return F.floor(column / F.lit(width)).cast("long")
 
 
-def value_chunk(df: DataFrame, value: str, chunks: int = 1024) -> Column:
-    """Chunk number of a floating value from approximate quantiles of the column.
+def with_value_chunk(df: DataFrame, value: str, chunks: int = 256) -> DataFrame:
+    """Add the chunk column for a floating value from approximate quantiles of the column.
 
     The split points are one scalar sub-query; a fixed-depth bisection finds the chunk.
     """
@@ -72,13 +72,14 @@ def value_chunk(df: DataFrame, value: str, chunks: int = 1024) -> Column:
         F.percentile_approx(F.col(value).cast("double"), F.array(*map(F.lit, probs)), 8 * size)
     ).scalar()
     steps = F.array(*[F.lit(1 << (depth - 1 - i)) for i in range(depth)])
-    return F.aggregate(
+    place = F.aggregate(
         steps,
         F.lit(0),
         lambda low, step: F.when(
-            F.get(splits, low + step - 1) < F.col(value), low + step
+            F.get(F.col("_splits"), low + step - 1) < F.col(value), low + step
         ).otherwise(low),
-    ).cast("long")
+    )
+    return df.withColumn("_splits", splits).withColumn(CHUNK, place.cast("long")).drop("_splits")
 
 
 def running(
@@ -87,7 +88,6 @@ def running(
     position: str,
     specs: Sequence[Running],
     width: int = 65_536,
-    chunk: Column | None = None,
     keep_chunk: bool = False,
 ) -> DataFrame:
     """Add the running values of ``specs`` to ``df``, which has one row per (keys, position).
@@ -99,7 +99,7 @@ def running(
     if CHUNK in df.columns:
         frame = df
     else:
-        frame = df.withColumn(CHUNK, position_chunk(position, width) if chunk is None else chunk)
+        frame = df.withColumn(CHUNK, position_chunk(position, width))
     kept = [c for c in df.columns if c != CHUNK] + ([CHUNK] if keep_chunk else [])
     group = keys + [CHUNK]
     orders = {True: F.col(position).asc(), False: F.col(position).desc()}
