@@ -368,21 +368,15 @@ def origin_names(
     return rounded.select(*kept, F.concat_ws("_", origin, place).alias("peak"))
 
 
-def nearest_points(
+def _located(
     queries: DataFrame,
     points: DataFrame,
-    keys: Sequence[str] = CHROM,
-    q_range: tuple[str, str] = ("start", "end"),
-    pos: str = "pos",
-    width: int = DEFAULTS.scan_width,
+    keys: Sequence[str],
+    q_range: tuple[str, str],
+    pos: str,
+    width: int,
 ) -> DataFrame:
-    """Closest point position of each closed query interval, ties on both sides kept.
-
-    Adds ``near_pos`` and ``distance``. A query that contains points gets one row with
-    distance 0 per distinct point inside it, found by ``overlap_join``; other queries get
-    the nearest position on the left, the right, or both when equally far.
-    """
-    keys = list(keys)
+    """Queries with the last point up to their end and the first point from their start."""
     q_start, q_end = (F.col(c) for c in q_range)
     known = points.select(*keys, F.col(pos).cast("long").alias("_pos")).select(
         *keys, "_pos", F.col("_pos").alias("_point")
@@ -400,12 +394,45 @@ def nearest_points(
     )
     left = sides.select(*keys, F.col("_pos").alias("_qe"), "_left")
     right = sides.select(*keys, F.col("_pos").alias("_qs"), "_right")
-    located = (
+    return (
         queries.withColumn("_qs", q_start.cast("long"))
         .withColumn("_qe", q_end.cast("long"))
-        .join(left, keys + ["_qe"])
-        .join(right, keys + ["_qs"])
+        .join(left, [*keys, "_qe"])
+        .join(right, [*keys, "_qs"])
     )
+
+
+def point_distance(
+    queries: DataFrame,
+    points: DataFrame,
+    keys: Sequence[str] = CHROM,
+    q_range: tuple[str, str] = ("start", "end"),
+    pos: str = "pos",
+    name: str = "distance",
+    width: int = DEFAULTS.scan_width,
+) -> DataFrame:
+    """Distance of each closed query to the closest point of its key, 0 inside, NULL without points."""
+    located = _located(queries, points, list(keys), q_range, pos, width)
+    gap = F.least(F.col("_qs") - F.col("_left"), F.col("_right") - F.col("_qe"))
+    return located.select(*queries.columns, F.greatest(gap, F.when(gap.isNotNull(), 0)).alias(name))
+
+
+def nearest_points(
+    queries: DataFrame,
+    points: DataFrame,
+    keys: Sequence[str] = CHROM,
+    q_range: tuple[str, str] = ("start", "end"),
+    pos: str = "pos",
+    width: int = DEFAULTS.scan_width,
+) -> DataFrame:
+    """Closest point position of each closed query interval, ties on both sides kept.
+
+    Adds ``near_pos`` and ``distance``. A query that contains points gets one row with
+    distance 0 per distinct point inside it, found by ``overlap_join``; other queries get
+    the nearest position on the left, the right, or both when equally far.
+    """
+    keys = list(keys)
+    located = _located(queries, points, keys, q_range, pos, width)
     inside = located.filter("_right <= _qe").drop("_left", "_right")
     outside = located.filter("_right is null or _right > _qe")
     distinct_points = points.select(*keys, F.col(pos).cast("long").alias("near_pos")).distinct()
