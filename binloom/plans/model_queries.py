@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from binloom.functions.columns import rounded
-from binloom.operators import intervals, sampling, terms, tests, validity
+from binloom.operators import intervals, mfa, sampling, terms, tests, validity
 from binloom.plans import adapters as A
 from binloom.plans.sql import r6, with_ctes
 from binloom.session import cut_lineage
@@ -209,7 +209,7 @@ def stratified_sample(spark, sf):
 def bootstrap_odds_ratio(spark, sf):
     """Resampled odds ratio of long regions between the first and last stage."""
     rows = A.regions(spark, sf).select("rid", "stage", ((F.col("end") - F.col("start")) > 800).cast("int").alias("flag"))
-    return sampling.odds_ratio_intervals(rows, "rid", "stage", "flag", {"d0": 1000, "d15": 2000}, reps=1000)
+    return sampling.odds_ratio_intervals(rows, "stage", "flag", {"d0": 1000, "d15": 2000}, reps=1000)
 
 
 @query("permutation_test")
@@ -222,3 +222,16 @@ def permutation_test(spark, sf):
         return means.groupBy("rep").agg((F.max("m") - F.min("m")).alias("stat"))
 
     return sampling.permutation_p(rows, ["rid"], "len", "cluster", spread, reps=20)
+
+
+@query("mfa_eigenvalues")
+def mfa_eigenvalues(spark, sf):
+    """Eigenvalues of the multiple factor analysis of the embeddings."""
+    return mfa.fit(features(spark, sf), "vec_id", FAMILIES)[0]
+
+
+@query("mfa_embedding")
+def mfa_embedding(spark, sf):
+    """Row coordinates up to the dimension that reaches 60 % of the variance."""
+    eigen, coordinates = mfa.fit(features(spark, sf), "vec_id", FAMILIES)
+    return mfa.reduce_to(eigen, coordinates)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from binloom.functions import sequence as S
 from binloom.functions.columns import ratio, rounded
 from binloom.operators import intervals, ranks
 from binloom.operators import tables as X
@@ -533,3 +534,18 @@ def set_operations(spark, sf):
         F.count_if(~F.col("a") & F.col("b")).alias("setdiff"),
         F.count_if(F.col("a") | F.col("b")).alias("union"),
     ).select(F.explode(F.array(*cells)).alias("_c")).select("_c.*")
+
+
+_LETTERS = "length(text) - length(regexp_replace(upper(text), '[{0}]', '', 'g'))"
+
+
+@query(
+    "letter_composition",
+    f"""SELECT doc_id, {r6(f"({_LETTERS.format('GC')}) / nullif({_LETTERS.format('ACGT')}, 0)")} AS gc,
+    {r6(f"(length(text) - ({_LETTERS.format('ACGT')})) / nullif(length(text), 0)")} AS other FROM documents""",
+)
+def letter_composition(spark, sf):
+    text = F.col("text")
+    return A.table(spark, sf, "documents").select(
+        "doc_id", rounded(S.gc_fraction(text)).alias("gc"), rounded(S.other_fraction(text)).alias("other")
+    )
