@@ -120,31 +120,49 @@ def hypergeometric_log_pmf(white: int, black: int, drawn: int, keep: int) -> tup
     return x, logs
 
 
-def fisher_2x2(a: int, b: int, c: int, d: int, level: float = 0.95) -> tuple[float, ...]:
-    """Two-sided p, conditional maximum-likelihood odds ratio and its confidence limits."""
-    white, black, drawn = a + b, c + d, a + c
-    x, logs = hypergeometric_log_pmf(white, black, drawn, a)
-    observed = logs[int(a - x[0])]
-    p = float(min(1.0, np.exp(logs[logs <= observed + 1e-7]).sum()))
-    low, high = x[0], x[-1]
-
-    def weights(log_odds: float) -> np.ndarray:
-        w = logs + log_odds * x
+class Table2x2:
+    """Noncentral hypergeometric view of a 2x2 table with fixed margins."""
+
+    def __init__(self, a: int, b: int, c: int, d: int):
+        self.a = float(a)
+        self.x, self.logs = hypergeometric_log_pmf(a + b, c + d, a + c, a)
+
+    def weights(self, log_odds: float) -> np.ndarray:
+        w = self.logs + log_odds * self.x
         w = np.exp(w - w.max())
         return w / w.sum()
 
-    def solve(measure, target: float) -> float:
+    def solve(self, measure, target: float) -> float:
+        """Odds at which the increasing ``measure`` of the weights reaches ``target``."""
         left, right = -50.0, 50.0
-        for _ in range(200):
+        for _ in range(70):
             middle = (left + right) / 2.0
-            left, right = (middle, right) if measure(middle) < target else (left, middle)
+            left, right = (middle, right) if measure(self.weights(middle)) < target else (left, middle)
         return math.exp((left + right) / 2.0)
 
-    tail = (1.0 - level) / 2.0
-    odds = 0.0 if a == low else math.inf if a == high else solve(lambda t: float(weights(t) @ x), float(a))
-    lower = 0.0 if a == low else solve(lambda t: float(weights(t)[x >= a].sum()), tail)
-    upper = math.inf if a == high else solve(lambda t: -float(weights(t)[x <= a].sum()), -tail)
-    return p, odds, lower, upper
+    def p_value(self) -> float:
+        observed = self.logs[int(self.a - self.x[0])]
+        return float(min(1.0, np.exp(self.logs[self.logs <= observed + 1e-7]).sum()))
+
+    def odds(self) -> float:
+        if self.a == self.x[0]:
+            return 0.0
+        if self.a == self.x[-1]:
+            return math.inf
+        return self.solve(lambda w: float(w @ self.x), self.a)
+
+    def limits(self, level: float = 0.95) -> tuple[float, float]:
+        tail = (1.0 - level) / 2.0
+        above, below = self.x >= self.a, self.x <= self.a
+        low = 0.0 if self.a == self.x[0] else self.solve(lambda w: float(w[above].sum()), tail)
+        high = math.inf if self.a == self.x[-1] else self.solve(lambda w: -float(w[below].sum()), -tail)
+        return low, high
+
+
+def fisher_2x2(a: int, b: int, c: int, d: int, level: float = 0.95) -> tuple[float, ...]:
+    """Two-sided p, conditional maximum-likelihood odds ratio and its confidence limits."""
+    table = Table2x2(a, b, c, d)
+    return (table.p_value(), table.odds(), *table.limits(level))
 
 
 _FISHER = T.StructType([T.StructField(n, T.DoubleType()) for n in ("p", "odds_ratio", "ci_low", "ci_high")])
@@ -192,3 +210,8 @@ def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def ks_tail(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(v) else kolmogorov_upper(v, a, b) for v, a, b in zip(d, n, m)], dtype=float)
+
+
+@F.pandas_udf(T.DoubleType())
+def conditional_odds(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    return pd.Series([Table2x2(int(w), int(x), int(y), int(z)).odds() for w, x, y, z in zip(a, b, c, d)])

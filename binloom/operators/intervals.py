@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from binloom.functions.columns import round_to_grid
-from binloom.operators.scan import Running, running
+from binloom.operators.scan import CHUNK, Running, position_chunk, running
 from binloom.params import DEFAULTS
 
 CHROM = ("chrom",)
@@ -148,17 +149,44 @@ def regions_of(
 
     A row opens a region when it starts more than ``slack`` beyond every earlier end.
     ``extra`` are aggregates carried along per distinct start.
+
+    Regions are first opened inside position chunks. One summary row per chunk then says
+    how far earlier chunks reach and where the region they leave open began; a locally
+    opened region that starts within that reach belongs to the open one.
     """
     keys = list(keys)
-    starts = df.groupBy(*keys, F.col("start").cast("long").alias("start")).agg(
-        F.max(F.col("end").cast("long")).alias("end"), *extra
+    group = keys + [CHUNK]
+    starts = (
+        df.groupBy(*keys, F.col("start").cast("long").alias("start"))
+        .agg(F.max(F.col("end").cast("long")).alias("end"), *extra)
+        .withColumn(CHUNK, position_chunk("start", width))
+    )
+    inside = Window.partitionBy(*group).orderBy("start")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    local = (
+        starts.withColumn("_reached", F.max("end").over(before))
+        .withColumn("_head", F.when(_beyond("start", "_reached", slack), F.col("start")))
+        .withColumn(
+            "_open",
+            F.last("_head", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
+        )
     )
-    reached = running(
-        starts, keys, "start", [Running("_reached", "max", "end", inclusive=False)], width, keep_chunk=True
+    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        local.groupBy(*group)
+        .agg(F.max("end").alias("_end"), F.max("_head").alias("_last"))
+        .withColumn("_far", F.max("_end").over(earlier))
+        .withColumn("_opened", F.when(_beyond("_last", "_far", slack), F.col("_last")))
+        .withColumn("_from", F.last("_opened", ignorenulls=True).over(earlier))
+        .select(*group, "_far", "_from")
     )
-    opens = F.col("_reached").isNull() | (F.col("start") > F.col("_reached") + slack)
-    headed = reached.withColumn("_head", F.when(opens, F.col("start"))).drop("_reached")
-    return running(headed, keys, "start", [Running("region_start", "last", "_head")], width).drop("_head")
+    region = F.when(_beyond("_open", "_far", slack), F.col("_open")).otherwise(F.col("_from"))
+    kept = [c for c in starts.columns if c != CHUNK]
+    return local.join(carried, group).select(*kept, region.alias("region_start"))
+
+
+def _beyond(start: str, reached: str, slack: int) -> Column:
+    return F.col(reached).isNull() | (F.col(start) > F.col(reached) + slack)
 
 
 def merge_intervals(

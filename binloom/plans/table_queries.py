@@ -536,7 +536,7 @@ def set_operations(spark, sf):
     ).select(F.explode(F.array(*cells)).alias("_c")).select("_c.*")
 
 
-_LETTERS = "length(text) - length(regexp_replace(upper(text), '[{0}]', '', 'g'))"
+_LETTERS = "length(text) - length(regexp_replace(text, '[{0}]', '', 'gi'))"
 
 
 @query(
