@@ -107,21 +107,17 @@ def merged_members(spark, sf):
 @query(
     "merged_peak_names",
     with_ctes(
-        """SELECT chrom, min("start") AS region_start,
-        array_to_string(list(name ORDER BY "start", "end"), '|') AS merged_peaks,
-        stage FROM islands GROUP BY chrom, isl, stage""",
+        """SELECT chrom, rs AS region_start, stage, "start" // 65536 AS part,
+        array_to_string(list(name ORDER BY "start", "end"), '|') AS merged_peaks FROM
+        (SELECT *, min("start") OVER (PARTITION BY chrom, isl) AS rs FROM islands) GROUP BY ALL""",
         "islands",
-        extra=(),
-    ).replace("min(\"start\") AS region_start", "min(rs) AS region_start").replace(
-        "FROM islands GROUP BY",
-        'FROM (SELECT *, min("start") OVER (PARTITION BY chrom, isl) AS rs FROM islands) GROUP BY',
     ),
 )
 def merged_peak_names(spark, sf):
     members = intervals.region_members(A.long_segments(spark, sf))
     named = intervals.merged_names(members, stage_order=STAGES)
     stage = F.element_at(F.array(*map(F.lit, STAGES)), F.col("piece.stage_rank") + 1)
-    return named.select("chrom", "region_start", "merged_peaks", stage.alias("stage"))
+    return named.select("chrom", "region_start", "merged_peaks", stage.alias("stage"), F.col("piece.part").alias("part"))
 
 
 @query(
