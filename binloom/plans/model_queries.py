@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from binloom.functions.columns import rounded
-from binloom.operators import intervals, mfa, sampling, terms, tests, validity
+from binloom.operators import controls, intervals, mfa, neighbours, sampling, terms, tests, validity
 from binloom.plans import adapters as A
 from binloom.plans.sql import r6, with_ctes
 from binloom.session import cut_lineage
@@ -235,3 +235,43 @@ def mfa_embedding(spark, sf):
     """Row coordinates up to the dimension that reaches 60 % of the variance."""
     eigen, coordinates = mfa.fit(features(spark, sf), "vec_id", FAMILIES)
     return mfa.reduce_to(eigen, coordinates)
+
+
+@query(
+    "nearest_neighbours",
+    f"""WITH e AS (SELECT vec_id, CAST(unnest(range(0, 64)) AS BIGINT) AS f, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+    d AS (SELECT a.vec_id AS src, b.vec_id AS dst, sqrt(sum((a.x - b.x) ** 2)) AS d FROM e a JOIN e b ON a.f = b.f AND a.vec_id <> b.vec_id GROUP BY 1, 2)
+    SELECT src, dst, {r6('d')} AS distance FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS rn FROM d) WHERE rn <= 10""",
+)
+def nearest_neighbours(spark, sf):
+    """The ten nearest rows of every row (a top-k report)."""
+    return neighbours.nearest_neighbours(vectors(spark, sf), 10).select("src", "dst", *r("distance"))
+
+
+def vectors(spark, sf):
+    return A.table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec")
+    )
+
+
+@query("snn_clusters")
+def snn_clusters(spark, sf):
+    """Communities of the shared-neighbour graph of the embeddings."""
+    return neighbours.cluster(vectors(spark, sf), 20, 0.8)
+
+
+@query("matched_controls")
+def matched_controls(spark, sf):
+    """Passages of the documents matched to one target passage per long document."""
+    documents = A.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("chrom"), F.col("text"), F.length("text").cast("long").alias("length")
+    )
+    pieces = documents.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / 4096))))
+    start = (F.col("chunk") * 4096 + 1).cast("int")
+    chunks = cut_lineage(pieces.select("chrom", F.col("chunk").cast("long").alias("chunk"), F.substring("text", start, F.lit(4096)).alias("seq")))
+    lengths = documents.select("chrom", "length")
+    targets = lengths.filter("length >= 400").select(
+        F.col("chrom").alias("target_id"), "chrom", F.floor(F.col("length") / 3).alias("start"),
+        (F.floor(F.col("length") / 3) + 60).alias("end"),
+    )
+    return controls.matched_controls(targets, chunks, lengths, fold=1, max_n_fraction=1.0, rounds=3, first_attempts=8)[0]
