@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from binloom.functions.columns import rounded
-from binloom.operators import controls, intervals, mfa, neighbours, sampling, terms, tests, validity
+from binloom.operators import controls, intervals, mfa, neighbours, sampling, trees, terms, tests, validity
+from binloom.params import MARKS
 from binloom.plans import adapters as A
+from binloom.plans import chain
 from binloom.plans.sql import r6, with_ctes
 from binloom.session import cut_lineage
 
@@ -275,3 +277,25 @@ def matched_controls(spark, sf):
         (F.floor(F.col("length") / 3) + 60).alias("end"),
     )
     return controls.matched_controls(targets, chunks, lengths, fold=1, max_n_fraction=1.0, rounds=3, first_attempts=8)[0]
+
+
+@query(
+    "tree_path_distance",
+    f"""WITH RECURSIVE ed AS (SELECT c_custkey // 4 AS p, c_custkey AS c, 1.0::DOUBLE + c_custkey % 7 AS w FROM customer WHERE c_custkey > 0),
+    t AS (SELECT 0::BIGINT AS node, 0.0::DOUBLE AS d UNION ALL SELECT c, d + w FROM t JOIN ed ON p = node)
+    SELECT node, {r6('d')} AS distance FROM t""",
+)
+def tree_path_distance(spark, sf):
+    """Distances from the root of the tree that links customer n to customer n div 4."""
+    edges = A.table(spark, sf, "customer").filter("c_custkey > 0").select(
+        F.floor(F.col("c_custkey") / 4).cast("long").alias("src"),
+        F.col("c_custkey").alias("dst"),
+        (F.col("c_custkey") % 7 + 1.0).alias("weight"),
+    )
+    return trees.tree_distances(edges, 0).select("node", *r("distance"))
+
+
+@query("feature_chain")
+def feature_chain(spark, sf):
+    """Cleaned, pruned and standardised feature matrix of the whole chain."""
+    return chain.run_features(A.marked_cells(spark, sf).groupBy("chrom", "stage", "bin").agg(*[F.max(m).alias(m) for m in MARKS]), A.SEGMENT_LEN).standard
