@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from binloom.functions import tails
 from binloom.functions.columns import ratio
+from binloom.operators.ranks import adjust_p
 from binloom.operators.tables import column_profile
 from binloom.params import DEFAULTS
 
@@ -135,6 +136,25 @@ def fit_ols(
     return df.sparkSession.createDataFrame(table, schema)
 
 
+def fit_groups(
+    models: dict[tuple[str, str], DataFrame], marks: Sequence[str], max_zero: float = DEFAULTS.max_zero_fraction
+) -> DataFrame:
+    """Coefficients of every (group, period) model with p-values adjusted per model and overall.
+
+    Each model regresses ``expr_delta`` on the usable net burdens and the region count.
+    """
+    tables = None
+    for (group, period), genes in models.items():
+        usable = usable_predictors(genes, [f"{m}_net" for m in marks], max_zero)
+        spread = genes.agg(F.stddev_samp("log_n_crr")).first()[0]
+        fitted = fit_ols(genes, "expr_delta", [*usable, "log_n_crr"] if spread else usable)
+        tagged = fitted.select(F.lit(group).alias("group"), F.lit(period).alias("period"), "*")
+        tables = tagged if tables is None else tables.unionByName(tagged)
+    slopes = tables.filter("term <> '(Intercept)'")
+    within = adjust_p(slopes, ["group", "period"], "p_value", "BH", "FDR_within_model")
+    return adjust_p(within, [], "p_value", "BH", "FDR_global")
+
+
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pairwise-complete correlation of every column pair, one aggregation row unpivoted."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]

@@ -490,3 +490,14 @@ def nearest_points(
     )
     columns = [*queries.columns, "near_pos", "distance"]
     return hits.select(*columns).unionByName(near.select(*columns))
+
+
+def matched_loci(
+    regions: DataFrame, loci: DataFrame, gene: str = "gene_id", score: str = "pp_h4", least: float = 0.8,
+    bucket: int = DEFAULTS.bucket_width,
+) -> DataFrame:
+    """Region and locus pairs that overlap, name the same gene and reach the score."""
+    strong = loci.filter(F.col(score) >= least).select(
+        "chrom", gene, F.col("start").alias("b_start"), F.col("end").alias("b_end"), score
+    )
+    return overlap_join(regions, strong, ["chrom", gene], bucket=bucket)

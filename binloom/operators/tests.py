@@ -83,3 +83,23 @@ def correlation(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame
     r = F.col("r")
     t = ratio(r * F.sqrt(F.col("n") - 2), F.sqrt(1 - r * r))
     return base.select(*keys, "n", "r", (r * r).alias("r2"), "slope", "intercept", t.alias("t"))
+
+
+def fold_enrichment(counts: DataFrame, pseudo: float = 0.0) -> DataFrame:
+    """Log2 ratio of the flagged share inside (a of a+b) to the share outside (c of c+d)."""
+    inside = ratio(F.col("a") + pseudo, F.col("a") + F.col("b") + pseudo)
+    outside = ratio(F.col("c") + pseudo, F.col("c") + F.col("d") + pseudo)
+    return counts.withColumn("log2_fold", F.log2(F.nullif(ratio(inside, outside), F.lit(0.0))))
+
+
+def with_t_p(tested: DataFrame, name: str = "p") -> DataFrame:
+    """Two-sided p-value of columns ``t`` and ``df``."""
+    return tested.withColumn(name, tails.t_two_sided("t", F.col("df").cast("double")))
+
+
+def with_kruskal_p(tested: DataFrame, name: str = "p") -> DataFrame:
+    return tested.withColumn(name, tails.chi2_tail("h", (F.col("k") - 1).cast("double")))
+
+
+def with_ks_p(tested: DataFrame, name: str = "p") -> DataFrame:
+    return tested.withColumn(name, tails.ks_tail("d", "n_first", "n_second"))

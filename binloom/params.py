@@ -7,7 +7,6 @@ from dataclasses import dataclass
 # Mark, stage and chromosome names and their order.
 MARKS = ("DNase", "H3K27ac", "H3K27me3", "H3K36me3", "H3K4me1", "H3K4me3", "H3K9ac", "H3K9me3")
 STAGES = ("d0", "d7", "d15")
-STAGE_SOURCES = {"msc": "d0", "adi_7d": "d7", "adi_15d": "d15"}
 CHROMS = tuple(f"chr{i}" for i in range(1, 23)) + ("chrX",)
 PATTERNS = ("000", "111", "001", "110", "011", "100")
 ACTIVE_MARKS = ("H3K4me1", "H3K27ac")
@@ -60,5 +59,14 @@ class Params:
     bucket_width: int = 4096
     scan_width: int = 65_536
 
+    def __post_init__(self) -> None:
+        positive = ("bin_size", "min_len", "split_window", "slice_window", "knn_k", "control_fold", "bucket_width", "scan_width")
+        if any(getattr(self, name) < 1 for name in positive):
+            raise ValueError(f"{', '.join(positive)} must be at least 1")
+        if min(self.control_gc, self.control_len, self.max_tss_distance, self.promoter_upstream) < 0:
+            raise ValueError("tolerances and distances must not be negative")
+        if not 0 < self.boot_fraction <= 1:
+            raise ValueError("boot_fraction must be in (0, 1]")
+
 
 DEFAULTS = Params()

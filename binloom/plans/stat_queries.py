@@ -254,3 +254,26 @@ def pearson_r2(spark, sf):
     return tests.correlation(A.table(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice").select(
         "l_returnflag", "n", *r("r", "r2", "slope")
     )
+
+
+@query(
+    "state_enrichment",
+    with_ctes(
+        f"""SELECT cluster, {r6('log2((a / (a + b)) / (c / (c + d)))')} AS log2_fold FROM
+        (SELECT cluster, CAST(a AS DOUBLE) a, CAST(b AS DOUBLE) b, CAST(c AS DOUBLE) c, CAST(d AS DOUBLE) d FROM four)""",
+        "regions", extra=_LEN + (_FOUR,),
+    ),
+)
+def state_enrichment(spark, sf):
+    counts = tests.versus_rest(_lengths(spark, sf), "cluster", F.col("len") > 800)
+    return tests.fold_enrichment(counts).select("cluster", *r("log2_fold"))
+
+
+@query("test_p_values")
+def test_p_values(spark, sf):
+    """Tail probabilities of the Welch, Kruskal-Wallis and KS statistics per cluster."""
+    lens = _lengths(spark, sf)
+    welch = tests.with_t_p(tests.welch(lens, ["cluster"], "len", "stage", "d0", "d15"), "welch_p")
+    ks = tests.with_ks_p(ranks.ks_distance(lens, ["cluster"], "len", "stage", "d0", "d15"), "ks_p")
+    kw = tests.with_kruskal_p(ranks.kruskal(lens, ["cluster"], "len", "stage"), "kruskal_p")
+    return welch.join(ks, "cluster").join(kw, "cluster").select("cluster", *r("welch_p", "ks_p", "kruskal_p"))

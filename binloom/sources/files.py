@@ -257,6 +257,18 @@ def write_cells(df: DataFrame, path: str, keys: Sequence[str], values: Sequence[
     long.write.partitionBy(*keys).csv(path, header=True, mode="overwrite")
 
 
+def write_controls(controls: DataFrame, unmatched: DataFrame, path: str) -> bool:
+    """Control table (shares with six digits) and, next to it, the unmatched pairs.
+
+    Returns whether every pair was matched; an empty unmatched table replaces a stale one.
+    """
+    shares = ("source_gc", "control_gc", "gc_difference")
+    text = controls.withColumns({c: F.format_string("%.6f", c) for c in shares})
+    write_tsv(text, path)
+    write_tsv(unmatched, f"{path}.unmatched")
+    return unmatched.isEmpty()
+
+
 def store_table(df: DataFrame, name: str, refresh: bool = False) -> DataFrame:
     """Named intermediate table in the shared folder, written when missing."""
     spark = df.sparkSession

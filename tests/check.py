@@ -1,11 +1,12 @@
 """Run registered queries against their SQL twins: check.py [sf] [name ...]."""
 
+import os
 import sys
 import time
 import traceback
 
-sys.path.insert(0, "/root/repo")
-sys.path.insert(0, "/root/repo/tests")
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 from oracle import compare, connect  # noqa: E402
 
