@@ -19,7 +19,7 @@ def brute(x, k):
 
 def test_neighbours_many_pivots_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "ROWS_PER_PIVOT", 30)
-    monkeypatch.setattr(neighbours, "BLOCK", 25)
+    monkeypatch.setattr(neighbours, "BLOCK", 25)  # several tasks per cell
     rng = np.random.default_rng(8)
     x = np.vstack([rng.normal(size=(130, 3)) * 0.2, rng.normal(size=(50, 3)) + 6])
     got = {}
@@ -29,6 +29,14 @@ def test_neighbours_many_pivots_and_blocks(spark, monkeypatch):
     assert len(got) == 180 and all(got[i] == set(want[i]) for i in range(180))
 
 
+def test_copies_spread_their_neighbours(spark):
+    x = np.vstack([np.zeros((200, 2)), np.ones((20, 2))])
+    near = neighbours.nearest_neighbours(points(spark, x), 5)
+    assert near.filter("src < 200").agg(F.max("distance")).first()[0] == 0.0
+    assert near.groupBy("dst").count().agg(F.max("count")).first()[0] < 30
+    assert near.count() == 220 * 5
+
+
 def test_shared_neighbours_and_communities(spark):
     rng = np.random.default_rng(9)
     x = np.vstack([rng.normal(size=(40, 2)) * 0.3 + c for c in ((0, 0), (8, 0), (0, 8))])
