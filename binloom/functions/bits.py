@@ -13,10 +13,6 @@ WORD = 32
 REGION_BITS = 62
 
 
-def ones(mask: Column) -> Column:
-    return F.bit_count(mask)
-
-
 def low_bits(count: Column) -> Column:
     """Mask of the ``count`` lowest bits, for 0 <= count <= 62."""
     return F.call_function("shiftleft", F.lit(1).cast("long"), count.cast("int")) - F.lit(1)
@@ -30,29 +26,6 @@ def run_end_bits(mask: Column) -> Column:
     return mask.bitwiseAND(F.bitwise_not(F.shiftright(mask, 1)))
 
 
-def n_runs(mask: Column) -> Column:
-    return ones(run_start_bits(mask))
-
-
-def longest_run(mask: Column) -> Column:
-    """Length of the longest run of ones, from the binary text of the mask."""
-    return F.array_max(F.transform(F.split(F.bin(mask), "0"), F.length))
-
-
-def n_changes(mask: Column, count: Column) -> Column:
-    """Number of neighbouring bins with different values among ``count`` bins."""
-    return ones(mask.bitwiseXOR(F.shiftright(mask, 1)).bitwiseAND(low_bits(count - F.lit(1))))
-
-
-def position_sum(mask: Column) -> Column:
-    """Sum of the zero-based positions of the set bits of a mask of at most 62 bits."""
-    total = F.lit(0)
-    for digit in range(6):
-        picked = sum(1 << i for i in range(REGION_BITS) if i >> digit & 1)
-        total = total + ones(mask.bitwiseAND(F.lit(picked))) * F.lit(1 << digit)
-    return total
-
-
 def set_positions(mask: Column, width: int = WORD) -> Column:
     """Array of the positions of the set bits, ascending."""
     index = F.sequence(F.lit(0), F.lit(width - 1))

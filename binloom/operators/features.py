@@ -216,8 +216,8 @@ def net_change(
         absent = cells[0].bitwiseOR(cells[1]).bitwiseOR(cells[2]) == 0
         steps = []
         for before, after in zip(cells, cells[1:]):
-            gained = bits.ones(after.bitwiseAND(F.bitwise_not(before)))
-            lost = bits.ones(before.bitwiseAND(F.bitwise_not(after)))
+            gained = F.bit_count(after.bitwiseAND(F.bitwise_not(before)))
+            lost = F.bit_count(before.bitwiseAND(F.bitwise_not(after)))
             steps.append(F.when(~absent, ratio(gained - lost, F.col("n_bins"))))
         rows.append(
             F.struct(

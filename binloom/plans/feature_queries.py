@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import functions as F
 
 from binloom.functions.columns import rounded
 from binloom.operators import features as X
-from binloom.params import MARKS, PATTERNS, STAGES
+from binloom.params import MARKS, PATTERNS
 from binloom.plans import adapters as A
 from binloom.plans.sql import r6, with_ctes
 

@@ -4,7 +4,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from binloom.functions import tails
 from binloom.operators import burden, features, mfa, qc, ranks, stitch, validity
