@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: A key counts as hot from one row in so many on; there are fewer hot keys than this.
 HOT_SHARE = 1000
 #: Text bytes that one vectorised step works on.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from binloom.llm.common import documents
 from binloom.llm.encoders import tokenizer_path
 from binloom.llm.exact_dedup import exact_duplicates
+from binloom.llm.lsh_forest import near_duplicates
 from binloom.llm.packing import pack
 from binloom.llm.token_frames import read_token_files, write_token_files
+from binloom.llm.toxicity import score, train
+
+
+def op1_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
 
 
 def op2_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +29,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_frames, op4_best_fit_packing, op5_exact_dedup)}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+QUERIES = {f.__name__: f for f in (op1_lsh_forest, op2_token_frames, op4_best_fit_packing, op5_exact_dedup, op8_toxicity)}
 
 SQL = {
     "op5_exact_dedup": """
