@@ -28,7 +28,7 @@ _UNSAFE_SPACE = re.compile(rf"(?:^| )(?:[^{_PLAIN}]|$)|[^{_PLAIN}](?: |$)")
 
 
 @cache
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte: itself where printable, else from 256 on."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
     table, spare = {}, 256
@@ -68,7 +68,7 @@ class Encoder:
         return np.asarray(ids, self.dtype).tobytes()
 
     def _word(self, word: str) -> bytes:
-        shown = word.encode().decode("latin-1").translate(_byte_letters())
+        shown = word.encode().decode("latin-1").translate(byte_letters())
         return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], self.dtype).tobytes()
 
     def _plain(self, text: str) -> bytes:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from binloom.llm.common import documents
+from binloom.llm.decontaminate import contaminated
 from binloom.llm.encoders import tokenizer_path
 from binloom.llm.exact_dedup import exact_duplicates
 from binloom.llm.lsh_forest import near_duplicates
 from binloom.llm.packing import pack
 from binloom.llm.token_frames import read_token_files, write_token_files
 from binloom.llm.toxicity import score, train
+from binloom.llm.transducer import token_counts
 
 
 def op1_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +23,10 @@ def op2_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(*write_token_files(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json")))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
@@ -29,12 +35,16 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op1_lsh_forest, op2_token_frames, op4_best_fit_packing, op5_exact_dedup, op8_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_lsh_forest, op2_token_frames, op3_decontamination, op4_best_fit_packing, op5_exact_dedup, op6_token_counts, op8_toxicity)}
 
 SQL = {
     "op5_exact_dedup": """
