@@ -19,16 +19,36 @@ def _bit(bitmap, position):
     return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (position % 8).cast("int"))) > 0
 
 
-def repeated_cells(hashes: DataFrame) -> DataFrame:
-    """First pass: (block, bitmap) of the filter cells that two or more hashes fall into."""
-    cells = hashes.select(F.explode(F.array(*(F.col("block") * BLOCK_BITS + F.col(p) for p in ("p1", "p2")))).alias("cell"))
-    return (
+def _placed(rows: DataFrame, blocks: int) -> DataFrame:
+    """Block and two places in it for the column ``_hash``."""
+    place = lambda seed: F.pmod(F.xxhash64("_hash", F.lit(seed)), F.lit(BLOCK_BITS))
+    return rows.select("*", F.pmod(F.xxhash64("_hash"), F.lit(blocks)).alias("block"), place(1).alias("p1"), place(2).alias("p2"))
+
+
+def cell_filter(hashes: DataFrame, total: int, least: int = 1, bits_per_row: int = 16) -> tuple[DataFrame, int]:
+    """Bloom filter (block, bitmap) of the cells that ``least`` or more hashes fall into.
+
+    Column ``_hash`` is read. Returns the filter and its number of blocks; it is marked for
+    broadcast where it has at most ``BROADCAST_BYTES``.
+    """
+    blocks = max(1, -(-total * bits_per_row // BLOCK_BITS))
+    cells = _placed(hashes, blocks).select(F.explode(F.array(*(F.col("block") * BLOCK_BITS + F.col(p) for p in ("p1", "p2")))).alias("cell"))
+    bitmaps = (
         cells.groupBy("cell")
         .count()
-        .where("count > 1")
+        .where(F.col("count") >= least)
         .groupBy(F.floor(F.col("cell") / BLOCK_BITS).alias("block"))
         .agg(F.bitmap_construct_agg(F.col("cell") % BLOCK_BITS).alias("bitmap"))
     )
+    return (F.broadcast(bitmaps) if blocks * BLOCK_BITS // 8 <= BROADCAST_BYTES else bitmaps), blocks
+
+
+def in_filter(rows: DataFrame, bitmaps: DataFrame, blocks: int) -> DataFrame:
+    """``rows`` with ``_in``: whether both cells of ``_hash`` are in the filter."""
+    found = _placed(rows, blocks).join(bitmaps, "block", "left")
+    bitmap = F.col("bitmap")
+    inside = F.coalesce(_bit(bitmap, F.col("p1")) & _bit(bitmap, F.col("p2")), F.lit(False))
+    return found.withColumn("_in", inside).drop("block", "p1", "p2", "bitmap")
 
 
 def exact_duplicates(
@@ -49,20 +69,8 @@ def exact_duplicates(
     digest = F.sha2(filled(text_col).cast("binary"), 256)
     slim = cut_lineage(docs.select(F.col(id_col).alias("_id"), F.unhex(digest).alias("_digest")))
     total = slim.count()
-    blocks = max(1, -(-total * bits_per_row // BLOCK_BITS))
-    hashed = F.xxhash64("_digest")
-    placed = slim.select(
-        "*",
-        F.pmod(hashed, F.lit(blocks)).alias("block"),
-        F.pmod(F.xxhash64("_digest", F.lit(1)), F.lit(BLOCK_BITS)).alias("p1"),
-        F.pmod(F.xxhash64("_digest", F.lit(2)), F.lit(BLOCK_BITS)).alias("p2"),
-    )
-    cells = repeated_cells(placed)
-    if blocks * BLOCK_BITS // 8 <= BROADCAST_BYTES:
-        cells = F.broadcast(cells)
-    bitmap = F.col("bitmap")
-    may_repeat = F.coalesce(_bit(bitmap, F.col("p1")) & _bit(bitmap, F.col("p2")), F.lit(False))
-    flagged = placed.join(cells, "block", "left").select("_id", "_digest", may_repeat.alias("_may"))
+    hashed = slim.withColumn("_hash", F.xxhash64("_digest"))
+    flagged = in_filter(hashed, *cell_filter(hashed, total, 2, bits_per_row)).select("_id", "_digest", F.col("_in").alias("_may"))
     rows = flagged.where("_may").drop("_may")
     groups = rows.groupBy("_digest").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     repeated = attach(rows, groups, "_digest", "group_size", total)

@@ -8,6 +8,7 @@ from binloom.llm.common import documents
 from binloom.llm.decontaminate import contaminated
 from binloom.llm.encoders import tokenizer_path
 from binloom.llm.exact_dedup import exact_duplicates
+from binloom.llm.line_dedup import line_deduplicated
 from binloom.llm.lsh_forest import near_duplicates
 from binloom.llm.packing import pack
 from binloom.llm.token_frames import read_token_files, write_token_files
@@ -44,7 +45,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op1_lsh_forest, op2_token_frames, op3_decontamination, op4_best_fit_packing, op5_exact_dedup, op6_token_counts, op8_toxicity)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_deduplicated(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+QUERIES = {f.__name__: f for f in (op1_lsh_forest, op2_token_frames, op3_decontamination, op4_best_fit_packing, op5_exact_dedup, op6_token_counts, op8_toxicity, op10_line_dedup)}
 
 SQL = {
     "op5_exact_dedup": """
