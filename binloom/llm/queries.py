@@ -11,6 +11,8 @@ from binloom.llm.exact_dedup import exact_duplicates
 from binloom.llm.line_dedup import line_deduplicated
 from binloom.llm.lsh_forest import near_duplicates
 from binloom.llm.packing import pack
+from binloom.llm.secret_spans import secret_spans
+from binloom.llm.secret_spans import train as train_field
 from binloom.llm.token_frames import read_token_files, write_token_files
 from binloom.llm.toxicity import score, train
 from binloom.llm.transducer import token_counts
@@ -40,6 +42,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return secret_spans(docs, train_field(docs))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -49,7 +56,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_deduplicated(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_dropped")
 
 
-QUERIES = {f.__name__: f for f in (op1_lsh_forest, op2_token_frames, op3_decontamination, op4_best_fit_packing, op5_exact_dedup, op6_token_counts, op8_toxicity, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_lsh_forest, op2_token_frames, op3_decontamination, op4_best_fit_packing, op5_exact_dedup, op6_token_counts, op7_secret_spans, op8_toxicity, op10_line_dedup)}
 
 SQL = {
     "op5_exact_dedup": """
