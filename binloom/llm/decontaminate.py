@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from binloom.llm.common import filled, text_bytes, text_slices
+from binloom.llm.exact_dedup import without
 from binloom.llm.hashing import BYTE_VALUES, RollingHash, text_of
 
 #: Share of an item's bytes that may be edited.
@@ -248,4 +249,4 @@ def contaminated(
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item."""
-    return docs.join(contaminated(docs, items, id_col, text_col).select(id_col).distinct(), id_col, "left_anti")
+    return without(docs, contaminated(docs, items, id_col, text_col).select(id_col), id_col)

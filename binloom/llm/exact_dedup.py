@@ -86,7 +86,20 @@ def exact_duplicates(
     )
 
 
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is not in the one column of ``ids``; null ids stay.
+
+    Rows that a Bloom filter of the ids does not know pass straight through; only the others
+    are shuffled to meet the exact list.
+    """
+    ids = cut_lineage(ids.toDF("_gone").where("_gone IS NOT NULL").distinct())
+    bitmaps, blocks = cell_filter(ids.select(F.xxhash64("_gone").alias("_hash")), ids.count())
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), docs[id_col].alias("_id"))
+    marked = in_filter(rows.withColumn("_hash", F.xxhash64("_id")), bitmaps, blocks)
+    left = marked.where("_in").join(ids, F.col("_id") == F.col("_gone"), "left_anti")
+    return marked.where("NOT _in").unionByName(left).select("_row.*")
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
+    return without(docs, exact_duplicates(docs, id_col, text_col).where("NOT kept").select(id_col), id_col)

@@ -13,6 +13,8 @@ from binloom.llm.lsh_forest import near_duplicates
 from binloom.llm.packing import pack
 from binloom.llm.secret_spans import secret_spans
 from binloom.llm.secret_spans import train as train_field
+from binloom.llm.site_quality import site_quality
+from binloom.llm.site_quality import train as train_quality
 from binloom.llm.token_frames import read_token_files, write_token_files
 from binloom.llm.toxicity import score, train
 from binloom.llm.transducer import token_counts
@@ -52,11 +54,30 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op9_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return site_quality(docs, train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_deduplicated(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_dropped")
 
 
-QUERIES = {f.__name__: f for f in (op1_lsh_forest, op2_token_frames, op3_decontamination, op4_best_fit_packing, op5_exact_dedup, op6_token_counts, op7_secret_spans, op8_toxicity, op10_line_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_lsh_forest,
+        op2_token_frames,
+        op3_decontamination,
+        op4_best_fit_packing,
+        op5_exact_dedup,
+        op6_token_counts,
+        op7_secret_spans,
+        op8_toxicity,
+        op9_site_quality,
+        op10_line_dedup,
+    )
+}
 
 SQL = {
     "op5_exact_dedup": """

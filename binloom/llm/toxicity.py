@@ -228,3 +228,15 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col), F.coalesce(held_out(id_col), F.lit(True)).alias("held_out"), filled(text_col).alias("text"))
     return rows.mapInArrow(scored, f"{id_col} {kind}, held_out boolean, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below one half, with all their columns."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, text_col):
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            yield batch.filter(pa.array(shipped.value.scores(*text_bytes(texts)) < 0.5))
+
+    return docs.mapInArrow(clean, docs.schema)
