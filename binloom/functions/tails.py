@@ -98,24 +98,29 @@ def kolmogorov_upper(d: float, n: float, m: float) -> float:
 
 
 def hypergeometric_log_pmf(white: int, black: int, drawn: int, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Support and log probabilities; a very long support is cut 60 deviations around ``keep`` and the mode."""
+    """Support and log probabilities, from ``keep`` and the mode outward to where they are 0 in double."""
     low, high = max(0, drawn - black), min(drawn, white)
-    total = white + black
-    mean = drawn * white / total if total else 0.0
-    spread = math.sqrt(mean * (black / total) * (total - drawn) / max(total - 1, 1)) if total else 0.0
-    reach = int(60 * spread) + 1000
-    start = max(low, min(int(mean), keep) - reach)
-    stop = min(high, max(int(mean), keep) + reach)
-    x = np.arange(start, stop + 1, dtype=float)
-    if len(x) > 1:
-        k = x[:-1]
-        steps = (
-            np.log(white - k) + np.log(drawn - k) - np.log(k + 1.0) - np.log(black - drawn + k + 1.0)
-        )
-        logs = np.concatenate(([0.0], np.cumsum(steps)))
-    else:
-        logs = np.zeros(len(x))
-    logs -= logs.max()
+    mode = min(high, max(low, (drawn + 1) * (white + 1) // (white + black + 2)))
+
+    def steps(k: np.ndarray) -> np.ndarray:
+        """Log ratio of the probabilities at k + 1 and k."""
+        return np.log(white - k) + np.log(drawn - k) - np.log(k + 1.0) - np.log(black - drawn + k + 1.0)
+
+    def outward(end: int, wanted: int, side: int) -> list[np.ndarray]:
+        """Logs from the mode to ``end``, in blocks, until they vanish beyond ``wanted``."""
+        blocks, at, log = [], mode, 0.0
+        while at != end and (log > -760.0 or side * (wanted - at) > 0):
+            size = min(abs(end - at), 65536)
+            k = at + np.arange(size) if side > 0 else at - 1 - np.arange(size)
+            logs = log + np.cumsum(side * steps(k.astype(float)))
+            blocks.append(logs)
+            at, log = at + side * size, float(logs[-1])
+        return blocks
+
+    up, down = outward(high, keep, 1), outward(low, keep, -1)
+    above, below = (np.concatenate(b) if b else np.zeros(0) for b in (up, down))
+    x = mode + np.arange(-len(below), len(above) + 1, dtype=float)
+    logs = np.concatenate((below[::-1], [0.0], above))
     logs -= math.log(np.exp(logs).sum())
     return x, logs
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from binloom.operators import mfa, neighbours, ranks, validity
-from binloom.operators.sampling import fixed_sample, unit_draw
+from binloom.operators.sampling import unit_draw
 from binloom.params import DEFAULTS, Params
 from binloom.session import cut_lineage
 
@@ -52,14 +52,14 @@ def score_cell(
 ) -> dict:
     """Silhouette, eta2, CH, DB, bootstrap ARI and cluster count of one grid cell.
 
-    The distance based indices use at most ``params.validity_sample`` rows.
+    All indices are those of all rows.
     """
     share, resolution, k = cell
     embedded = mfa.reduce_to(eigen, coordinates, share).select(F.col(key).alias("id"), F.col("coord").alias("vec"))
     points = cut_lineage(embedded)
     labels = cut_lineage(neighbours.cluster(points, k, resolution, params.seed))
     named = labels.withColumnRenamed("id", key)
-    drawn = cut_lineage(fixed_sample(features.join(named, key), [key], params.validity_sample, params.seed))
+    drawn = cut_lineage(features.join(named, key))
     distances, levels = validity.cluster_distances(drawn, key, "cluster", families)
     distances = cut_lineage(distances)
     several = len(levels) > 1
@@ -71,7 +71,7 @@ def score_cell(
         "k.param": k,
         "Silhouette": widths.agg(F.avg("width")).first()[0] if several else None,
         "eta2": effect.first()["eta2"] if several else None,
-        "CH": validity.calinski_harabasz(drawn, key, "cluster", families, params.validity_sample, params.seed) if several else None,
+        "CH": validity.calinski_harabasz(drawn, "cluster", families).first()["calinski_harabasz"] if several else None,
         "DB": validity.davies_bouldin(validity.mean_cluster_distances(distances, levels, "cluster")) if several else None,
         "Bootstrap_ARI": bootstrap_ari(points, labels, params.n_boot, params.boot_fraction, k, resolution, params.seed)
         .agg(F.avg("ari")).first()[0],

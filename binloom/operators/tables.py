@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from binloom.functions import tails
 from binloom.functions.columns import clipped, ratio
 from binloom.params import CHROMS, DEFAULTS, STAGES
 
@@ -314,11 +315,16 @@ def inheritance_flows(members: DataFrame, stages: Sequence[str] = STAGES) -> Dat
 
 
 def tau_star(df: DataFrame, m: int = DEFAULTS.ldsc_m) -> DataFrame:
-    """Standardised per-SNP heritability: needs prop_snps, coefficient, coefficient_se, h2."""
+    """Standardised per-SNP heritability: needs prop_snps, coefficient, coefficient_se, h2.
+
+    ``z`` and the two-sided ``p`` are those of the coefficient, so they hold also where the
+    share of SNPs is 0 or 1.
+    """
     spread = F.sqrt(F.col("prop_snps") * (1 - F.col("prop_snps")))
     unit = ratio(m * spread, F.col("h2"))
+    z = ratio(F.col("coefficient"), F.col("coefficient_se"))
     return df.withColumn("tau_star", unit * F.col("coefficient")).withColumn(
-        "tau_star_se", unit * F.col("coefficient_se")
-    ).withColumn("z", ratio(F.col("tau_star"), F.col("tau_star_se"))).withColumn(
+        "tau_star_se", F.abs(unit) * F.col("coefficient_se")
+    ).withColumn("z", z).withColumn("p", tails.normal_two_sided("z")).withColumn(
         "ci_low", F.col("tau_star") - 1.96 * F.col("tau_star_se")
     ).withColumn("ci_high", F.col("tau_star") + 1.96 * F.col("tau_star_se"))

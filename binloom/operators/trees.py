@@ -28,14 +28,16 @@ def root_leaf(edges: DataFrame, positions: DataFrame):
 def tree_distances(edges: DataFrame, root) -> DataFrame:
     """Path length of every node from ``root`` on a tree, one join per level.
 
-    Only the frontier is joined; reached nodes of each level are written out.
+    Only the frontier is joined; reached nodes of each level are written out. A node that is
+    reached twice lies on a cycle, which is an error.
     """
     links = cut_lineage(both_ways(edges))
+    nodes = links.select("src").distinct().count()
     frontier = cut_lineage(
         links.select(F.lit(root).cast(links.schema["src"].dataType).alias("node")).limit(1)
         .withColumn("distance", F.lit(0.0)).withColumn("came", F.lit(None).cast(links.schema["src"].dataType))
     )
-    levels = [frontier]
+    levels, seen = [frontier], 1
     while True:
         step = (
             frontier.join(links.withColumnRenamed("src", "node"), "node")
@@ -43,8 +45,12 @@ def tree_distances(edges: DataFrame, root) -> DataFrame:
             .select(F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"), F.col("node").alias("came"))
         )
         frontier = cut_lineage(step)
-        if frontier.isEmpty():
+        size = frontier.count()
+        if not size:
             break
+        seen += size
+        if seen > nodes:
+            raise ValueError("the edges have a cycle")
         levels.append(frontier)
     reached = levels[0]
     for level in levels[1:]:

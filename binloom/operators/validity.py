@@ -2,22 +2,21 @@
 
 That distance is a weighted sum of one-dimensional absolute differences, so the summed
 distance of a row to a whole cluster follows from running counts and sums over the sorted
-values of every feature. Silhouette and Davies-Bouldin are exact without forming pairs.
+values of every feature. Silhouette and Davies-Bouldin are exact without forming pairs, and
+Calinski-Harabasz takes sums of squares on the same weighted features.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from binloom.functions.columns import ratio
-from binloom.operators.sampling import fixed_sample
 from binloom.operators.scan import Running, running, with_value_chunk
-from binloom.params import DEFAULTS
 
 
 def feature_weights(df: DataFrame, families: dict[str, Sequence[str]]) -> dict[str, float]:
@@ -114,47 +113,20 @@ def davies_bouldin(means: np.ndarray) -> float:
     return float(np.mean(worst))
 
 
-def calinski_harabasz(
-    df: DataFrame,
-    key: str,
-    label: str,
-    families: dict[str, Sequence[str]],
-    sample: int = DEFAULTS.validity_sample,
-    seed: int = DEFAULTS.seed,
-) -> float:
-    """Calinski-Harabasz index from squared distances of a fixed sample.
+def calinski_harabasz(df: DataFrame, label: str, families: dict[str, Sequence[str]]) -> DataFrame:
+    """Calinski-Harabasz index (n, k, calinski_harabasz) of all rows.
 
-    Squared sums of absolute differences need pairs, so the index is defined on at most
-    ``sample`` rows. That bounded table is broadcast; each task handles a slice of rows.
+    Sums of squares are Euclidean on the features after the range and family weights, so one
+    grouped pass gives the sum within clusters and one the total; no pairs are formed.
     """
     weights = feature_weights(df, families)
-    names = list(weights)
-    drawn = fixed_sample(df.select(key, label, *names), [key], sample, seed)
-    table = drawn.toPandas()  # at most ``sample`` rows
-    if len(table) > sample:
-        raise ValueError("the sample exceeds its bound")
-    codes, levels = pd.factorize(table[label])
-    points = table[names].to_numpy(float) * np.array([weights[c] for c in names])
-    shared = df.sparkSession.sparkContext.broadcast((points, codes))
-
-    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        everyone, group = shared.value
-        for batch in batches:
-            total, inside = [], []
-            for i in batch["i"]:
-                square = np.abs(everyone - everyone[i]).sum(axis=1) ** 2
-                total.append(square.sum())
-                inside.append(square[group == group[i]].sum())
-            yield pd.DataFrame({"g": group[batch["i"]], "total": total, "inside": inside})
-
-    spark = df.sparkSession
-    n, k = len(points), len(levels)
-    rows = spark.range(n).withColumnRenamed("id", "i").mapInPandas(block, "g int, total double, inside double")
-    sums = rows.groupBy("g").agg(F.sum("total").alias("t"), F.sum("inside").alias("w"), F.count("g").alias("c")).collect()
-    # every pair is seen from both ends
-    tss = sum(r["t"] for r in sums) / 2.0 / (2.0 * n)
-    wss = sum(r["w"] / 2.0 / (2.0 * r["c"]) for r in sums)
-    return float(((tss - wss) / (k - 1)) / (wss / (n - k)))
+    spread = reduce(lambda a, b: a + b, (F.var_pop(F.col(c).cast("double") * w) for c, w in weights.items()))
+    inside = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), spread.alias("s"))
+    inside = inside.agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.col("s")).alias("wss"))
+    total = df.agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) * spread).alias("tss"))
+    between = ratio(F.col("tss") - F.col("wss"), (F.col("k") - 1).cast("double"))
+    rest = ratio(F.col("wss"), (F.col("n") - F.col("k")).cast("double"))
+    return total.join(F.broadcast(inside)).select("n", "k", ratio(between, rest).alias("calinski_harabasz"))  # one row each
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:

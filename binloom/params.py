@@ -37,7 +37,6 @@ class Params:
     grid_variance: tuple[float, ...] = (0.6, 0.7, 0.8)
     grid_resolution: tuple[float, ...] = (0.2, 0.4, 0.6, 0.8, 1.0)
     grid_k: tuple[int, ...] = (20, 40, 60, 80, 100)
-    validity_sample: int = 4000
     n_boot: int = 10
     boot_fraction: float = 0.8
     promoter_upstream: int = 2000

@@ -73,15 +73,15 @@ def db_index(spark, sf):
 
 @query(
     "ch_index",
-    f"""WITH {_LONG}, t AS (SELECT count(*) AS n, count(DISTINCT label) AS k FROM embeddings),
-    tss AS (SELECT sum(d * d) / 2 / (2 * max(n)) AS v FROM d, t),
-    wss AS (SELECT sum(v) AS v FROM (SELECT sum(d * d) / 2 / (2 * max(c)) AS v FROM d JOIN (SELECT label, count(*) AS c FROM embeddings GROUP BY 1) ON label = li
-      WHERE li = lj GROUP BY li))
-    SELECT {r6('((tss.v - wss.v) / (k - 1)) / (wss.v / (n - k))')} AS calinski_harabasz FROM tss, wss, t""",
+    f"""WITH e AS (SELECT label, CAST(unnest(range(0, 64)) AS BIGINT) AS f, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+    w AS (SELECT f, 1.0 / (6 * count(*) OVER (PARTITION BY f * 6 // 64) * r) AS w FROM (SELECT f, max(x) - min(x) AS r FROM e GROUP BY f)),
+    t AS (SELECT count(*) AS n, count(DISTINCT label) AS k FROM embeddings),
+    tss AS (SELECT sum(v) AS v FROM (SELECT var_pop(x * w) * count(*) AS v FROM e JOIN w USING (f) GROUP BY f)),
+    wss AS (SELECT sum(v) AS v FROM (SELECT var_pop(x * w) * count(*) AS v FROM e JOIN w USING (f) GROUP BY f, label))
+    SELECT n, k, {r6('((tss.v - wss.v) / (k - 1)) / (wss.v / (n - k))')} AS calinski_harabasz FROM tss, wss, t""",
 )
 def ch_index(spark, sf):
-    value = validity.calinski_harabasz(features(spark, sf), "vec_id", "label", FAMILIES)
-    return spark.createDataFrame([(value,)], "calinski_harabasz double").select(*r("calinski_harabasz"))
+    return validity.calinski_harabasz(features(spark, sf), "label", FAMILIES).select("n", "k", *r("calinski_harabasz"))
 
 
 @query(
@@ -262,9 +262,30 @@ def snn_clusters(spark, sf):
     return neighbours.cluster(vectors(spark, sf), 20, 0.8)
 
 
+@query(
+    "cluster_rows",
+    """SELECT count(*) AS n_rows, count(DISTINCT vec_id) AS n_ids, count(DISTINCT embedding) AS n_vectors, 0::BIGINT AS split_vectors
+    FROM embeddings WHERE embedding IS NOT NULL""",
+)
+def cluster_rows(spark, sf):
+    """Every row has one label, and rows with one vector share it."""
+    points = vectors(spark, sf).filter("vec IS NOT NULL")
+    labels = cut_lineage(neighbours.cluster(points, 20, 0.8).join(points, "id"))
+    per_vector = labels.groupBy("vec").agg(F.count_distinct("cluster").alias("k"))
+    counts = per_vector.agg(F.count(F.lit(1)).alias("n_vectors"), F.count_if(F.col("k") > 1).alias("split_vectors"))
+    return labels.agg(F.count("cluster").alias("n_rows"), F.count_distinct("id").alias("n_ids")).join(F.broadcast(counts))
+
+
+@query("region_clusters")
+def region_clusters(spark, sf):
+    """Regions with their cluster and switch score, from bins to labels."""
+    cells = A.marked_cells(spark, sf).groupBy("chrom", "stage", "bin").agg(*[F.max(m).alias(m) for m in MARKS])
+    return chain.run_clustering(chain.run_features(cells, A.SEGMENT_LEN))
+
+
 @query("matched_controls")
 def matched_controls(spark, sf):
-    """Passages of the documents matched to one target passage per long document."""
+    """Passages matched to a target passage of every document with text, and the unmatched targets."""
     documents = A.table(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("chrom"), F.col("text"), F.length("text").cast("long").alias("length")
     )
@@ -272,11 +293,16 @@ def matched_controls(spark, sf):
     start = (F.col("chunk") * 4096 + 1).cast("int")
     chunks = cut_lineage(pieces.select("chrom", F.col("chunk").cast("long").alias("chunk"), F.substring("text", start, F.lit(4096)).alias("seq")))
     lengths = documents.select("chrom", "length")
-    targets = lengths.filter("length >= 400").select(
-        F.col("chrom").alias("target_id"), "chrom", F.floor(F.col("length") / 3).alias("start"),
-        (F.floor(F.col("length") / 3) + 60).alias("end"),
+    third = F.floor(F.col("length") / 3)
+    targets = lengths.select(
+        F.col("chrom").alias("target_id"), "chrom", third.alias("start"), F.least(third + 60, F.col("length")).alias("end")
+    ).filter("end > start")
+    found, left = controls.matched_controls(
+        targets, chunks, lengths, fold=1, max_n_fraction=1.0, rounds=6, strict=False
+    )
+    return found.withColumn("status", F.lit("matched")).unionByName(
+        left.withColumnRenamed("reason", "status").drop("replicate_index"), allowMissingColumns=True
     )
-    return controls.matched_controls(targets, chunks, lengths, fold=1, max_n_fraction=1.0, rounds=3, first_attempts=8)[0]
 
 
 @query(

@@ -496,8 +496,8 @@ def gene_matched_overlap(spark, sf):
 
 @query(
     "tau_star",
-    f"""SELECT p_brand, {r6('tau')} AS tau_star, {r6('se')} AS tau_star_se, {r6('tau / se')} AS z, {r6('tau - 1.96 * se')} AS ci_low FROM
-    (SELECT p_brand, 5961159 * sqrt(prop * (1 - prop)) / 0.4 * coef AS tau, 5961159 * sqrt(prop * (1 - prop)) / 0.4 * 2e-9 AS se FROM
+    f"""SELECT p_brand, {r6('tau')} AS tau_star, {r6('se')} AS tau_star_se, {r6('coef / 2e-9')} AS z, {r6('tau - 1.96 * se')} AS ci_low FROM
+    (SELECT p_brand, coef, 5961159 * sqrt(prop * (1 - prop)) / 0.4 * coef AS tau, 5961159 * sqrt(prop * (1 - prop)) / 0.4 * 2e-9 AS se FROM
      (SELECT p_brand, count(*) / (SELECT count(*) FROM part) AS prop, (avg(p_size) - 25) * 1e-9 AS coef FROM part GROUP BY p_brand))""",
 )
 def tau_star(spark, sf):

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from binloom.operators import controls, neighbours, sampling, validity
+from binloom.functions import tails
+from binloom.operators import controls, neighbours, sampling, trees, validity
 
 
 def points(spark, x):
@@ -111,3 +112,44 @@ def test_controls_invariants(spark):
         for c, s, e in blocked:
             assert c != r["chrom"] or e <= r["start"] or r["end"] <= s
         blocked.append((r["chrom"], r["start"], r["end"]))
+
+
+def test_clusters_keep_every_row(spark):
+    rng = np.random.default_rng(5)
+    points = [(k, [1.0, 2.0]) for k in range(600)] + [
+        (1000 + k, [float(x) for x in rng.normal(10 * (k % 2), 0.5, 2)]) for k in range(60)
+    ]
+    points.append((5000, [900.0, 900.0]))
+    got = {r.id: r.cluster for r in neighbours.cluster(spark.createDataFrame(points, "id long, vec array<double>"), 10, 0.8).collect()}
+    assert set(got) == {k for k, _ in points}
+    assert len({got[k] for k in range(600)}) == 1 and got[0] == 1
+    assert sorted(set(got.values())) == list(range(1, len(set(got.values())) + 1))
+
+
+def test_tree_with_cycle_is_an_error(spark):
+    edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (3, 1, 1.0)], "src long, dst long, weight double")
+    with pytest.raises(ValueError):
+        trees.tree_distances(edges, 1)
+
+
+def test_calinski_harabasz_on_all_rows(spark):
+    rng = np.random.default_rng(6)
+    label = rng.integers(0, 3, 5000)
+    x = rng.normal(label[:, None] * [1.0, 0.5], 1.0)
+    rows = [(int(g), float(a), float(b)) for g, (a, b) in zip(label, x)]
+    df = spark.createDataFrame(rows, "g int, a double, b double")
+    scaled = x / (2 * (x.max(0) - x.min(0)))
+    squares = lambda v: ((v - v.mean(0)) ** 2).sum()
+    inside = sum(squares(scaled[label == g]) for g in range(3))
+    want = ((squares(scaled) - inside) / 2) / (inside / (5000 - 3))
+    got = validity.calinski_harabasz(df, "g", {"p": ["a"], "q": ["b"]}).first()
+    assert (got["n"], got["k"]) == (5000, 3) and got["calinski_harabasz"] == pytest.approx(want)
+
+
+def test_hypergeometric_support_is_whole():
+    for white, black, drawn, keep in ((5, 7, 4, 2), (300, 20, 100, 90), (10**9, 10**9, 10**6, 500_000), (40, 10**7, 30, 30)):
+        x, logs = tails.hypergeometric_log_pmf(white, black, drawn, keep)
+        assert np.exp(logs).sum() == pytest.approx(1.0) and x[0] <= keep <= x[-1]
+        assert (x * np.exp(logs)).sum() == pytest.approx(drawn * white / (white + black))
+    draws = sampling.hypergeometric_draws(2 * 10**9, 10**9, 1000, range(200))
+    assert abs(draws.mean() - 1000 * 2 / 3) < 5
