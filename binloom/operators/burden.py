@@ -111,6 +111,8 @@ def fit_ols(
     gram = cross[:k, :k] / np.outer(scale, scale)
     moment = cross[:k, k] / scale
     centre = np.zeros(k) if standardize else means[:k]
+    if np.linalg.matrix_rank(gram) < k:
+        raise ValueError("predictors are linearly dependent")
     inverse = np.linalg.inv(gram)
     beta = inverse @ moment
     freedom = n - k - 1

@@ -128,48 +128,45 @@ def modularity(spark, sf):
 @query(
     "neighbour_enrichment",
     with_ctes(
-        f"""SELECT cluster, side, near, k, n, {r6('sign(k - n * e) * (abs(k - n * e) - least(0.5, abs(k - n * e))) / sqrt(n * e * (1 - e))')} AS z FROM
-        (SELECT f.cluster, f.side, b.cluster AS near, count(DISTINCT b.rid) AS k FROM
-          (SELECT rid, chrom, cluster, 'left' AS side, "start" - 200 AS s, "start" - 10 AS e FROM regions UNION ALL
-           SELECT rid, chrom, cluster, 'right', "end" + 10, "end" + 200 FROM regions) f JOIN regions b ON b.chrom = f.chrom
-           AND b."start" < f.e AND f.s < b."end" GROUP BY ALL)
-        JOIN (SELECT cluster, side, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT f.cluster, f.side, b.rid FROM
-          (SELECT rid, chrom, cluster, 'left' AS side, "start" - 200 AS s, "start" - 10 AS e FROM regions UNION ALL
-           SELECT rid, chrom, cluster, 'right', "end" + 10, "end" + 200 FROM regions) f JOIN regions b ON b.chrom = f.chrom
-           AND b."start" < f.e AND f.s < b."end") GROUP BY ALL) USING (cluster, side)
-        JOIN (SELECT cluster AS near, count(*) / (SELECT count(*) FROM regions) AS e FROM regions GROUP BY 1) USING (near)""",
+        f"""SELECT cluster, near, k, n, {r6('sign(k - n * e) * (abs(k - n * e) - least(0.5, abs(k - n * e))) / sqrt(n * e * (1 - e))')} AS z,
+        {r6('k / n - e')} AS excess, {r6('n / flanks')} AS hit_ratio FROM
+        (SELECT cluster, near, k, CAST(sum(k) OVER (PARTITION BY cluster) AS BIGINT) AS n FROM
+          (SELECT f.cluster, b.cluster AS near, count(DISTINCT b.rid) AS k FROM
+            (SELECT chrom, cluster, "start" - 200 AS s, "start" - 10 AS e FROM regions UNION ALL
+             SELECT chrom, cluster, "end" + 10, "end" + 200 FROM regions) f JOIN regions b ON b.chrom = f.chrom
+             AND b."start" < f.e AND f.s < b."end" GROUP BY ALL))
+        JOIN (SELECT cluster AS near, count(*) / (SELECT count(*) FROM regions) AS e FROM regions GROUP BY 1) USING (near)
+        JOIN (SELECT cluster, 2.0::DOUBLE * count(*) AS flanks FROM regions GROUP BY 1) USING (cluster)""",
         "regions",
     ),
 )
 def neighbour_enrichment(spark, sf):
-    """Clusters seen in the flanks of each cluster against their overall share."""
+    """Clusters of the regions in either flank of each cluster, against their overall share."""
     regions = A.regions(spark, sf)
     clusters = [row[0] for row in regions.select("cluster").distinct().collect()]  # few clusters
     sides = intervals.flanks(regions.select("chrom", "rid", "cluster", "start", "end"))
     flagged = intervals.count_overlaps(
-        regions.select("chrom", "rid", "start", "end", F.col("cluster").alias("near")),
-        sides.withColumn("kind", F.concat_ws("@", "cluster", "side")),
-        name="n",
-        by=("kind", [f"{c}@{s}" for c in clusters for s in ("left", "right")]),
+        regions.select("chrom", "rid", "start", "end", F.col("cluster").alias("near")), sides, name="n", by=("cluster", clusters)
     )
-    cells = [
-        F.struct(F.lit(c).alias("cluster"), F.lit(s).alias("side"), (F.col(f"`n_{c}@{s}`") > 0).alias("hit"))
-        for c in clusters
-        for s in ("left", "right")
-    ]
+    cells = [F.struct(F.lit(c).alias("cluster"), (F.col(f"`n_{c}`") > 0).alias("hit")) for c in clusters]
     hits = (
         flagged.select("near", F.explode(F.array(*cells)).alias("_c")).select("near", "_c.*").filter("hit")
-        .groupBy("cluster", "side", "near").agg(F.count(F.lit(1)).alias("k"))
+        .groupBy("cluster", "near").agg(F.count(F.lit(1)).alias("k"))
     )
-    totals = hits.groupBy("cluster", "side").agg(F.sum("k").alias("n"))
+    totals = hits.groupBy("cluster").agg(F.sum("k").alias("n"))
     size = regions.agg(F.count(F.lit(1))).scalar()
     share = regions.groupBy(F.col("cluster").alias("near")).agg((F.count(F.lit(1)) / size).alias("e"))
-    counts = hits.join(totals, ["cluster", "side"]).join(share, "near")
-    return tests.proportion(counts, "k", "n", F.col("e"), p_value=False).select("cluster", "side", "near", "k", "n", *r("z"))
+    flanks = regions.groupBy("cluster").agg((2.0 * F.count(F.lit(1))).alias("flanks"))
+    counts = hits.join(totals, "cluster").join(share, "near").join(flanks, "cluster")
+    tested = tests.proportion(counts, "k", "n", F.col("e"), p_value=False)
+    excess, ratio = F.col("k") / F.col("n") - F.col("e"), F.col("n") / F.col("flanks")
+    return tested.withColumns({"excess": excess, "hit_ratio": ratio}).select(
+        "cluster", "near", "k", "n", *r("z", "excess", "hit_ratio")
+    )
 
 
 _GO = """ann AS (SELECT DISTINCT p_brand || '-' || p_type AS term, p_partkey AS gene FROM part),
-    lists AS (SELECT DISTINCT l_returnflag AS cluster, l_partkey AS gene FROM lineitem WHERE l_quantity > 48),
+    lists AS (SELECT DISTINCT l_returnflag AS cluster, l_partkey AS gene FROM lineitem),
     sz AS (SELECT term, count(*) AS term_size FROM ann GROUP BY term HAVING count(*) BETWEEN 2 AND 30000000),
     ls AS (SELECT cluster, count(*) AS list_size FROM lists GROUP BY cluster HAVING count(*) >= 10),
     h AS (SELECT cluster, term, count(*) AS n FROM lists JOIN ann USING (gene) GROUP BY ALL),
@@ -189,7 +186,7 @@ _GO = """ann AS (SELECT DISTINCT p_brand || '-' || p_type AS term, p_partkey AS
 def over_representation(spark, sf):
     parts = A.table(spark, sf, "part")
     annotation = parts.select(F.concat_ws("-", "p_brand", "p_type").alias("term"), F.col("p_partkey").alias("gene"))
-    lines = A.table(spark, sf, "lineitem").filter("l_quantity > 48")
+    lines = A.table(spark, sf, "lineitem")
     lists = lines.select(F.col("l_returnflag").alias("cluster"), F.col("l_partkey").alias("gene"))
     tested = terms.over_representation(lists, annotation, annotation, min_size=2, max_size=30_000_000)
     return tested.select("cluster", "term", "n", "term_size", "list_size", *r("p"))

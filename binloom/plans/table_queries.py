@@ -386,15 +386,17 @@ def top1_per_group(spark, sf):
     return X.top_per_group(terms, ["cluster"], order).select("cluster", "term", "n")
 
 
+_P_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+
+
 @query(
     "pivot_terms",
-    f"""WITH {_TERMS} SELECT *, CAST(ECONOMY > 0 AS BIGINT) + CAST(SMALL > 0 AS BIGINT) AS n_present FROM (SELECT term,
-    coalesce(max(n) FILTER (WHERE cluster = 'ECONOMY'), 0) AS ECONOMY, coalesce(max(n) FILTER (WHERE cluster = 'SMALL'), 0) AS SMALL FROM terms GROUP BY term)""",
+    f"""WITH {_TERMS} SELECT *, {" + ".join(f"CAST({v} > 0 AS BIGINT)" for v in _P_TYPES)} AS n_present FROM (SELECT term,
+    {", ".join(f"coalesce(max(n) FILTER (WHERE cluster = '{v}'), 0) AS {v}" for v in _P_TYPES)} FROM terms GROUP BY term)""",
 )
 def pivot_terms(spark, sf):
-    values = ["ECONOMY", "SMALL"]
-    wide = _terms(spark, sf).groupBy("term").pivot("cluster", values).agg(F.max("n")).na.fill(0, values)
-    return wide.withColumn("n_present", sum((F.col(v) > 0).cast("long") for v in values))
+    wide = _terms(spark, sf).groupBy("term").pivot("cluster", list(_P_TYPES)).agg(F.max("n")).na.fill(0, list(_P_TYPES))
+    return wide.withColumn("n_present", sum((F.col(v) > 0).cast("long") for v in _P_TYPES))
 
 
 @query(
