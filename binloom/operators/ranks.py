@@ -13,10 +13,16 @@ from pyspark.sql import functions as F
 
 from binloom.functions.columns import ratio
 from binloom.operators.scan import Running, running, with_value_chunk
+from binloom.session import cut_lineage
+
+#: Distinct values that a chunk of a scan holds, on average.
+CHUNK_VALUES = 250_000
 
 
 def _running(base: DataFrame, keys: Sequence[str], value: str, specs: Sequence[Running]) -> DataFrame:
-    return running(with_value_chunk(base, value), keys, value, specs)
+    """Running values over a written table of distinct values, in chunks of bounded size."""
+    chunks = max(16, -(-base.count() // CHUNK_VALUES))
+    return running(with_value_chunk(base, value, chunks), keys, value, specs)
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, *extra: Column) -> DataFrame:
@@ -37,14 +43,25 @@ def attach(df: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def rank_table(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Average rank, first rank and last rank of every distinct value per key."""
-    scanned = _running(value_counts(df, keys, value), keys, value, [Running("rank_max", "sum", "n")])
-    return scanned.select(
-        *keys,
-        value,
-        "n",
-        (F.col("rank_max") - F.col("n") + 1).alias("rank_min"),
-        "rank_max",
-        (F.col("rank_max") - (F.col("n") - 1) / F.lit(2.0)).alias("rank_avg"),
+    return ranks_of_counts(value_counts(df, keys, value), keys, value)
+
+
+def ranks_of_counts(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """The rank table of distinct values with their number of rows ``n``.
+
+    The input is read once: the counts are written before the scan takes them three times,
+    and so are the ranks, which callers read more than once.
+    """
+    scanned = _running(cut_lineage(counts), keys, value, [Running("rank_max", "sum", "n")])
+    return cut_lineage(
+        scanned.select(
+            *keys,
+            value,
+            "n",
+            (F.col("rank_max") - F.col("n") + 1).alias("rank_min"),
+            "rank_max",
+            (F.col("rank_max") - (F.col("n") - 1) / F.lit(2.0)).alias("rank_avg"),
+        )
     )
 
 
@@ -77,7 +94,7 @@ def adjust_p(
         spec = Running("_best", "max", "_raw")
     else:
         raise ValueError(f"unknown method {method}")
-    scanned = _running(ranked.select(*keys, p, raw.alias("_raw")), keys, p, [spec])
+    scanned = _running(cut_lineage(ranked.select(*keys, p, raw.alias("_raw"))), keys, p, [spec])
     adjusted = scanned.select(*keys, p, F.least(F.lit(1.0), "_best").alias(name))
     return df.join(adjusted, [*keys, p], "left").select(*df.columns, name)
 
@@ -116,8 +133,8 @@ def quantile_table(
 def kruskal(df: DataFrame, keys: Sequence[str], value: str, group: str) -> DataFrame:
     """Kruskal-Wallis H with tie correction, and the effect size (H - k + 1) / (n - k)."""
     clean = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
-    ranks = rank_table(clean, keys, value)
-    cells = clean.groupBy(*keys, value, group).agg(F.count(F.lit(1)).alias("_c"))
+    cells = cut_lineage(clean.groupBy(*keys, value, group).agg(F.count(F.lit(1)).alias("_c")))
+    ranks = ranks_of_counts(cells.groupBy(*keys, value).agg(F.sum("_c").alias("n")), keys, value)
     sums = (
         cells.join(ranks.select(*keys, value, "rank_avg"), [*keys, value])
         .groupBy(*keys, group)
@@ -153,6 +170,7 @@ def ks_distance(
         F.sum((F.col(group) == first).cast("long")).alias("_a"),
         F.sum((F.col(group) == second).cast("long")).alias("_b"),
     )
+    counts = cut_lineage(counts)
     scanned = _running(counts, keys, value, [Running("_ca", "sum", "_a"), Running("_cb", "sum", "_b")])
     totals = group_total(counts, keys, F.sum("_a").alias("n_first"), F.sum("_b").alias("n_second"))
     gap = F.abs(
