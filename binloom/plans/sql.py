@@ -101,6 +101,9 @@ NEEDS = {
     "maxseg": ["roibins"],
 }
 
+#: Expressions that a twin may read several times; computed once.
+SHARED = {"roibins", "spatial", "maxseg"}
+
 
 def with_ctes(body: str, *names: str, extra: tuple[str, ...] = ()) -> str:
     """``body`` preceded by the named table expressions and all they need."""
@@ -114,5 +117,5 @@ def with_ctes(body: str, *names: str, extra: tuple[str, ...] = ()) -> str:
 
     for name in names:
         add(name)
-    parts = [CTES[n] for n in ordered] + list(extra)
+    parts = [CTES[n].replace(" AS (", " AS MATERIALIZED (", 1) if n in SHARED else CTES[n] for n in ordered] + list(extra)
     return f"WITH {', '.join(parts)} {body}" if parts else body

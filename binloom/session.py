@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -30,7 +32,8 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSess
 def shared_folder(spark: SparkSession) -> str:
     """Folder for cut points: ``spark.checkpoint.dir``, as the session or context names it.
 
-    A machine-local folder is used only on a local master without that setting.
+    A machine-local folder is used only on a local master without that setting; it is
+    removed when the process ends. A shared folder belongs to whoever named it.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
@@ -39,6 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="binloom-checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
     return folder
 
