@@ -328,3 +328,38 @@ def tau_star(df: DataFrame, m: int = DEFAULTS.ldsc_m) -> DataFrame:
     ).withColumn("z", z).withColumn("p", tails.normal_two_sided("z")).withColumn(
         "ci_low", F.col("tau_star") - 1.96 * F.col("tau_star_se")
     ).withColumn("ci_high", F.col("tau_star") + 1.96 * F.col("tau_star_se"))
+
+
+# ---- order and gene sets -----------------------------------------------------------
+
+
+def last_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The last ``n`` rows by the order columns (a top-k report)."""
+    return df.orderBy(*[F.col(c).desc() for c in order]).limit(n)
+
+
+def first_appearance(df: DataFrame, value: str, order: str, name: str = "level") -> DataFrame:
+    """Distinct values numbered 1, 2, ... by the smallest ``order`` they occur at; for factor levels."""
+    seen = df.groupBy(value).agg(F.min(order).alias("_first"))  # one row per level
+    return seen.select(value, F.row_number().over(Window.orderBy("_first", value)).cast("long").alias(name))
+
+
+def restricted_to(df: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
+    """Rows that overlap a region; an error if there are none."""
+    found = df.filter((F.col("chrom") == chrom) & (F.col("start") < end) & (F.col("end") > start))
+    if found.isEmpty():
+        raise ValueError(f"nothing overlaps {chrom}:{start}-{end}")
+    return found
+
+
+def fate_shares(df: DataFrame, group: str, gene: str, change: str, expressed: str) -> DataFrame:
+    """Shares of a group's distinct genes that fall, stay, rise, or are expressed nowhere (``silent``)."""
+    total = F.count_distinct(gene)
+    part = lambda test: ratio(F.count_distinct(F.when(test, F.col(gene))), total)
+    return df.groupBy(group).agg(
+        total.alias("n"),
+        part(F.col(change) == "Down").alias("repressed"),
+        part(F.col(change) == "NotSig").alias("unchanged"),
+        part(F.col(change) == "Up").alias("induced"),
+        part(~F.coalesce(F.col(expressed), F.lit(False))).alias("silent"),
+    )

@@ -276,6 +276,42 @@ def gene_fate(spark, sf):
     return X.counts_with_share(fate.distinct(), ["brand", "change"], ["brand"]).select("brand", "change", "n", *r("share"))
 
 
+@query(
+    "fate_shares",
+    f"""WITH {_FC}, x AS (SELECT gene, max(q) AS top FROM (SELECT l_partkey AS gene, {stage('l_orderkey')} AS st, sum(l_quantity) AS q FROM lineitem GROUP BY ALL) GROUP BY gene),
+    g AS (SELECT p_brand AS brand, p_partkey AS gene, padj, lfc, coalesce(top >= 200, false) AS expressed FROM part LEFT JOIN fc ON fc.gene = p_partkey LEFT JOIN x ON x.gene = p_partkey)
+    SELECT brand, count(DISTINCT gene) AS n, {r6("count(DISTINCT gene) FILTER (WHERE padj < 0.05 AND lfc <= -0.5) / count(DISTINCT gene)")} AS repressed,
+    {r6("count(DISTINCT gene) FILTER (WHERE lfc IS NOT NULL AND NOT coalesce(padj < 0.05 AND abs(lfc) >= 0.5, false)) / count(DISTINCT gene)")} AS unchanged,
+    {r6("count(DISTINCT gene) FILTER (WHERE padj < 0.05 AND lfc >= 0.5) / count(DISTINCT gene)")} AS induced,
+    {r6("count(DISTINCT gene) FILTER (WHERE NOT expressed) / count(DISTINCT gene)")} AS silent FROM g GROUP BY brand""",
+)
+def fate_shares(spark, sf):
+    genes = A.table(spark, sf, "part").select(F.col("p_partkey").alias("gene"), F.col("p_brand").alias("brand"))
+    fates = _fold_changes(spark, sf).filter("lfc IS NOT NULL").select(
+        "gene", X.expression_change(F.col("lfc"), F.col("padj")).alias("change")
+    )
+    sums = _parts(spark, sf).groupBy("gene", "stage").agg(F.sum("l_quantity").alias("q"))
+    expressed = sums.groupBy("gene").agg((F.max("q") >= 200).alias("expressed"))
+    rows = genes.join(fates, "gene", "left").join(expressed, "gene", "left")
+    return X.fate_shares(rows, "brand", "gene", "change", "expressed").select(
+        "brand", "n", *r("repressed", "unchanged", "induced", "silent")
+    )
+
+
+@query("last_rows", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 7")
+def last_rows(spark, sf):
+    """The seven last events by time (a top-k report)."""
+    return X.last_rows(A.table(spark, sf, "events").select("event_id", "ts"), ["ts", "event_id"], 7)
+
+
+@query(
+    "first_appearance",
+    "SELECT o_orderpriority, row_number() OVER (ORDER BY min(o_orderkey), o_orderpriority) AS level FROM orders GROUP BY 1",
+)
+def first_appearance(spark, sf):
+    return X.first_appearance(A.table(spark, sf, "orders"), "o_orderpriority", "o_orderkey")
+
+
 @query(
     "expression_levels",
     f"""SELECT brand, period, count(*) AS n, {r6('quantile_cont(v, 0)')} AS low, {r6('quantile_cont(v, 0.25)')} AS q25, {r6('median(v)')} AS median,
