@@ -3,7 +3,8 @@
 File layout, in the public seekable format of zstandard:
 
 * data frames, each a complete zstandard frame over whole ids (little-endian, 2 or 4 bytes);
-* one skippable frame with the index: id width, then doc ids and id counts, compressed;
+* one skippable frame with the index: id width, number of documents, how many of the first
+  have no id, then doc ids and id counts, compressed;
 * one skippable frame with the seek table: per data frame its compressed size, plain size
   and the low 32 bits of the XXH64 of its plain bytes, then the footer.
 
@@ -59,7 +60,7 @@ class FrameWriter:
         self.out = self.files.open_output_stream(f"{self.name}.part")
         self.compressor = zstandard.ZstdCompressor(level=3)
         self.pending, self.size, self.table = [], 0, []
-        self.doc_ids, self.counts = [], []
+        self.doc_ids, self.counts, self.nameless = [], [], 0
 
     def _flush(self) -> None:
         import xxhash
@@ -72,8 +73,10 @@ class FrameWriter:
             self.out.write(frame)
             self.table.append((len(frame), len(part), xxhash.xxh64_intdigest(part) & 0xFFFFFFFF))
 
-    def add(self, doc_id: int, ids: bytes) -> None:
-        self.doc_ids.append(doc_id)
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """Documents come in ascending order, those without id first."""
+        self.nameless += doc_id is None
+        self.doc_ids.append(doc_id or 0)
         self.counts.append(len(ids) // self.dtype.itemsize)
         self.pending.append(ids)
         self.size += len(ids)
@@ -83,7 +86,7 @@ class FrameWriter:
     def close(self) -> tuple[int, int]:
         """Documents and ids of the finished file."""
         self._flush()
-        index = np.array([self.dtype.itemsize, len(self.doc_ids), *self.doc_ids, *self.counts], "<i8").tobytes()
+        index = np.array([self.dtype.itemsize, len(self.doc_ids), self.nameless, *self.doc_ids, *self.counts], "<i8").tobytes()
         packed = self.compressor.compress(index)
         self.out.write(struct.pack("<II", SKIPPABLE, len(packed)) + packed)
         body = b"".join(struct.pack("<III", *row) for row in self.table)
@@ -114,7 +117,8 @@ class FrameReader:
         magic, length = struct.unpack("<II", self.file.read_at(8, int(self.places[-1])))
         index = np.frombuffer(self.decompressor.decompress(self.file.read_at(length, int(self.places[-1]) + 8)), "<i8")
         self.dtype, n = np.dtype(f"<u{index[0]}"), int(index[1])
-        self.doc_ids, self.counts = index[2 : 2 + n], index[2 + n :]
+        self.doc_ids, self.counts = index[3 : 3 + n], index[3 + n :]
+        self.nameless = np.arange(n) < index[2]
         self.offsets = np.concatenate([[0], np.cumsum(self.counts)])
         self.at, self.plain = -1, b""
 
@@ -147,8 +151,8 @@ def write_token_files(
     """Encode all texts and write them in ascending id order, a file per range of ids.
 
     Returns the folder and a manifest (shard, path, n_docs, n_tokens). Null texts are empty
-    and hold the end id alone; repeated ids are written once per row, a null id fails; an
-    empty table writes no file. A file is first written under a name of its own attempt, so a
+    and hold the end id alone; repeated ids are written once per row, rows without id come
+    first; an empty table writes no file. A file is first written under a name of its own attempt, so a
     repeated or speculative task cannot spoil another's file; the manifest names the valid one.
     """
     folder = f"{shared_folder(docs.sparkSession)}/token-ids-{uuid.uuid4().hex}"
@@ -188,7 +192,7 @@ def read_token_files(folder: str, manifest: DataFrame, id_col: str = "doc_id") -
                 crc = [zlib.crc32(reader.ids(k).astype("<u4").tobytes()) for k in range(len(reader.doc_ids))]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(reader.doc_ids),
+                        pa.array(reader.doc_ids, mask=reader.nameless),
                         pa.array(reader.offsets[:-1] + row["base"]),
                         pa.array(reader.counts),
                         pa.array(crc, pa.int64()),
