@@ -392,6 +392,30 @@ def test_near_signatures(spark, monkeypatch):
     assert {tuple(r) for r in line_dedup.near_signatures(rows).collect()} == want
 
 
+def test_line_candidates_recall(spark):
+    """Edits well within the limit, on short and long lines, are found as by a join of all pairs."""
+    rng = random.Random(31)
+    words = ["".join(rng.choices("abcdefghiklmnoprstuvw", k=rng.randint(2, 9))) for _ in range(2000)]
+    texts = []
+    for n in (6, 8, 12, 20, 40, 100):
+        for k in range(25):
+            parts = rng.choices(words, k=n)
+            texts.append(" ".join(parts))
+            at = rng.randrange(n)
+            new = parts[at] + "x" if k % 2 else rng.choice(words)
+            texts.append(" ".join([*parts[:at], new, *parts[at + 1 :]]))
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, line string")
+    pairs = rows.selectExpr("k a", "line la").crossJoin(rows.selectExpr("k b", "line lb")).where("a < b AND la != lb")
+    limit = "int(floor(greatest(length(la), length(lb)) * 0.2 + 1e-9))"
+    want = {(r.a, r.b) for r in pairs.where(f"levenshtein(la, lb, {limit}) >= 0").collect()}
+    docs = table(spark, texts)
+    _, repeated = line_dedup.line_groups(docs)
+    keep = {r.key: r.keep_doc for r in repeated.collect()}
+    key = {r.k: r.h for r in rows.selectExpr("k", "xxhash64(line) h").collect()}
+    found = {(a, b) for a, b in want if keep.get(key[a], a) == keep.get(key[b], b)}
+    assert len(want) > 120 and len(found) >= 0.97 * len(want)
+
+
 def test_secret_patterns():
     text = "é token:ab token:abcdefg AKIA" + "A1" * 10 + " secret=token:abcdef Api_Key = 'k-k-k-k' " + "0a" * 15 + " AKIASHORT"
     found = [(secret_spans.KINDS[k], text[a:b]) for a, k, b in secret_spans.base_spans(text)]
