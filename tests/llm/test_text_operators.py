@@ -416,6 +416,28 @@ def test_line_candidates_recall(spark):
     assert len(want) > 120 and len(found) >= 0.97 * len(want)
 
 
+def test_near_signatures_in_a_crowd(spark, monkeypatch):
+    """Near signatures are found among thousands that share all their keys but are not near."""
+    rng = random.Random(8)
+    crowd = {(0x155 << 13 | 0x0AA) | rng.getrandbits(38) << 26 for _ in range(4000)}
+    planted = []
+    for _ in range(20):
+        s = (0x155 << 13 | 0x0AA) | rng.getrandbits(38) << 26
+        planted.append((s, s ^ 1 << 27 ^ 1 << 40 ^ 1 << 53))
+    crowd |= {s for p in planted for s in p}
+    sign = lambda s: s - (1 << 64) if s >> 63 else s
+    rows = spark.createDataFrame([(sign(s),) for s in crowd], "sim long")
+    got = {tuple(r) for r in line_dedup.near_signatures(rows).collect()}
+    assert got >= {(min(a, b), max(a, b)) for a, b in (map(sign, p) for p in planted)}
+
+
+def test_paired_joins_every_piece(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PIECE", 7)
+    rows = spark.createDataFrame([(k % 2, k, 50) for k in range(100)], "bucket int, k int, many long")
+    got = [tuple(r) for r in line_dedup.paired(rows, "bucket", "many", ["k"], line_dedup.F.col("a_k") < line_dedup.F.col("b_k")).collect()]
+    assert sorted(got) == [(a, b) for a in range(100) for b in range(a + 1, 100) if (a - b) % 2 == 0]
+
+
 def test_secret_patterns():
     text = "é token:ab token:abcdefg AKIA" + "A1" * 10 + " secret=token:abcdef Api_Key = 'k-k-k-k' " + "0a" * 15 + " AKIASHORT"
     found = [(secret_spans.KINDS[k], text[a:b]) for a, k, b in secret_spans.base_spans(text)]
