@@ -438,6 +438,22 @@ def test_paired_joins_every_piece(spark, monkeypatch):
     assert sorted(got) == [(a, b) for a in range(100) for b in range(a + 1, 100) if (a - b) % 2 == 0]
 
 
+def test_lines_that_the_first_of_their_bucket_does_not_link(spark):
+    """Texts that are near each other but far from the smallest key of their bucket."""
+    rng = random.Random(12)
+    texts, want = [], {}
+    for k in range(20):
+        words = ["".join(rng.choices("abcdefghiklmnop", k=6)) for _ in range(8)]
+        for shuffled in range(4):  # orders of the same words: one set of features, far apart in edits
+            first = len(texts)
+            rng.shuffle(words)
+            texts += [" ".join(words) + " zz", " ".join(words) + ". zz", "- " + " ".join(words) + " zz"]
+            want |= {first: 0, first + 1: 1, first + 2: 1}
+    docs = table(spark, texts)
+    got = {r.doc_id: r.n_dropped for r in line_dedup.line_deduplicated(docs).collect()}
+    assert got == want
+
+
 def test_secret_patterns():
     text = "é token:ab token:abcdefg AKIA" + "A1" * 10 + " secret=token:abcdef Api_Key = 'k-k-k-k' " + "0a" * 15 + " AKIASHORT"
     found = [(secret_spans.KINDS[k], text[a:b]) for a, k, b in secret_spans.base_spans(text)]
