@@ -454,6 +454,17 @@ def test_lines_that_the_first_of_their_bucket_does_not_link(spark):
     assert got == want
 
 
+def test_lines_of_few_words_and_of_marks(spark):
+    passage = "這是一段沒有空格的文字它在兩份文件中出現並且只有一個字不同所以應該被找到"
+    long = " ".join(f"w{k * 7919 % 65537}" for k in range(60_500))
+    texts = [
+        f"all rights reserved\n==========\n{passage}\n}}\n{long}",
+        f"All rights  reserved\n==========\n{passage.replace('文件', '書本')}\n}}\n{long} end",
+    ]
+    got = {r.doc_id: r for r in line_dedup.line_deduplicated(table(spark, texts)).collect()}
+    assert got[0].text == texts[0] and got[1].text == "}" and got[1].n_dropped == 4
+
+
 def test_secret_patterns():
     text = "é token:ab token:abcdefg AKIA" + "A1" * 10 + " secret=token:abcdef Api_Key = 'k-k-k-k' " + "0a" * 15 + " AKIASHORT"
     found = [(secret_spans.KINDS[k], text[a:b]) for a, k, b in secret_spans.base_spans(text)]
