@@ -295,7 +295,7 @@ def matched_controls(spark, sf):
         F.col("chrom").alias("target_id"), "chrom", third.alias("start"), F.least(third + 60, F.col("length")).alias("end")
     ).filter("end > start")
     found, left = controls.matched_controls(
-        targets, chunks, lengths, fold=1, max_n_fraction=1.0, rounds=6, strict=False
+        targets, chunks, lengths, fold=1, max_n_fraction=1.0, strict=False
     )
     return found.withColumn("status", F.lit("matched")).unionByName(
         left.withColumnRenamed("reason", "status").drop("replicate_index"), allowMissingColumns=True

@@ -153,3 +153,20 @@ def test_hypergeometric_support_is_whole():
         assert (x * np.exp(logs)).sum() == pytest.approx(drawn * white / (white + black))
     draws = sampling.hypergeometric_draws(2 * 10**9, 10**9, 1000, range(200))
     assert abs(draws.mean() - 1000 * 2 / 3) < 5
+
+
+def test_controls_query_runs_with_the_operators_rounds(spark, monkeypatch):
+    import inspect
+
+    from binloom.plans import model_queries
+
+    real, asked = controls.matched_controls, {}
+
+    def noted(*args, **kwargs):
+        asked.update(inspect.signature(real).bind(*args, **kwargs).arguments)
+        raise InterruptedError
+
+    monkeypatch.setattr(controls, "matched_controls", noted)
+    with pytest.raises(InterruptedError):
+        model_queries.QUERIES["matched_controls"](spark, "/root/testdata/sf0.001")
+    assert not {"rounds", "first_attempts", "max_attempts"} & set(asked)
