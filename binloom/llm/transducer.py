@@ -9,8 +9,8 @@ first byte resets the state; where pre-tokens begin is decided by the classes of
 characters alone.
 
 Texts are cut into chunks that run side by side. A chunk with a reset maps every entry state
-to the same exit state; the others map by running from their entry. Entries follow from the
-composition of the maps before, and only the bytes before a chunk's first reset wait for them.
+to the same exit state; the others run from the exit state of the chunk before, one after
+another, and only the bytes before a chunk's first reset wait for that.
 """
 
 from __future__ import annotations
