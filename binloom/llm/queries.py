@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from binloom.llm.alignment import alignment_counts
 from binloom.llm.common import documents
 from binloom.llm.decontaminate import contaminated
 from binloom.llm.encoders import tokenizer_path
@@ -63,6 +64,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_deduplicated(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_counts(
+        documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,6 +83,7 @@ QUERIES = {
         op8_toxicity,
         op9_site_quality,
         op10_line_dedup,
+        op12_cross_tokenizer_alignment,
     )
 }
 
