@@ -9,6 +9,7 @@ from binloom.llm.common import documents
 from binloom.llm.decontaminate import contaminated
 from binloom.llm.encoders import tokenizer_path
 from binloom.llm.exact_dedup import exact_duplicates
+from binloom.llm.fill_middle import fill_in_middle_digests
 from binloom.llm.line_dedup import line_deduplicated
 from binloom.llm.lsh_forest import near_duplicates
 from binloom.llm.packing import pack
@@ -70,6 +71,10 @@ def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle_digests(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,6 +89,7 @@ QUERIES = {
         op9_site_quality,
         op10_line_dedup,
         op12_cross_tokenizer_alignment,
+        op13_fill_in_middle,
     )
 }
 
