@@ -10,6 +10,7 @@ from binloom.llm.decontaminate import contaminated
 from binloom.llm.encoders import tokenizer_path
 from binloom.llm.exact_dedup import exact_duplicates
 from binloom.llm.fill_middle import fill_in_middle_digests
+from binloom.llm.hash_tree import sharded, tree
 from binloom.llm.line_dedup import line_deduplicated
 from binloom.llm.lsh_forest import near_duplicates
 from binloom.llm.packing import pack
@@ -65,6 +66,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_deduplicated(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op11_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(documents(spark, sf_dir), tree(8), tree(9))
+
+
 def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_counts(
         documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
@@ -88,6 +93,7 @@ QUERIES = {
         op8_toxicity,
         op9_site_quality,
         op10_line_dedup,
+        op11_weighted_hash_tree,
         op12_cross_tokenizer_alignment,
         op13_fill_in_middle,
     )
@@ -100,4 +106,49 @@ SQL = {
                doc_id = max(doc_id) OVER same AS kept, text_sha256
         FROM hashed WINDOW same AS (PARTITION BY text_sha256)
     """,
+    "op11_weighted_hash_tree": """
+        WITH RECURSIVE steps(byte, k, v) AS (
+            SELECT b, 0, b FROM range(256) t(b)
+            UNION ALL SELECT byte, k + 1, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END
+            FROM steps WHERE k < 8
+        ),
+        lookup AS (SELECT list(v ORDER BY byte) AS t FROM steps WHERE k = 8),
+        leaves AS (
+            SELECT k AS shard, 'r' || (k // 4) AS region, 'r' || (k // 4) || '.k' || (k // 2 % 2) AS rack
+            FROM range(8) t(k) UNION ALL SELECT 8, 'r2', 'r2.k0'
+        ),
+        trees AS (SELECT n, leaves.* FROM leaves JOIN (VALUES (8), (9)) v(n) ON shard < n),
+        nodes AS (
+            SELECT n, 0 AS level, '' AS parent, region AS node, count(*) AS weight FROM trees GROUP BY ALL
+            UNION ALL SELECT n, 1, region, rack, count(*) FROM trees GROUP BY ALL
+            UNION ALL SELECT n, 2, rack, shard::VARCHAR, count(*) FROM trees GROUP BY ALL
+        ),
+        docs AS (
+            SELECT row_number() OVER () AS row, doc_id, strlen(coalesce(text, '')) + 1 AS size,
+                   coalesce(text, '') AS text, coalesce(doc_id::VARCHAR, '') AS key
+            FROM documents
+        ),
+        draws AS (
+            SELECT row, n, level, parent, node,
+                   -ln((('0x' || substr(md5('tree:' || level || ':' || node || ':' || key), 1, 13))::BIGINT + 0.5)
+                       / 4503599627370496.0) / weight AS draw
+            FROM docs, nodes
+        ),
+        won AS (
+            SELECT row, n, level, parent, arg_min(node, draw) AS node FROM draws GROUP BY row, n, level, parent
+        ),
+        placed AS (
+            SELECT a.row, a.n, c.node::INTEGER AS shard
+            FROM won a JOIN won b ON b.row = a.row AND b.n = a.n AND b.level = 1 AND b.parent = a.node
+            JOIN won c ON c.row = a.row AND c.n = a.n AND c.level = 2 AND c.parent = b.node
+            WHERE a.level = 0
+        )
+        SELECT doc_id, size::BIGINT AS size,
+               xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(text), '..'),
+                                                                       lambda x: ('0x' || x)::BIGINT)),
+                               lambda crc, b: xor(crc >> 8, t[(xor(crc, b) & 255) + 1])), 4294967295) AS text_crc32,
+               'key' AS law, p.shard,
+               row_number() OVER (PARTITION BY p.shard ORDER BY doc_id) - 1 AS slot, g.shard AS grown_shard
+        FROM docs JOIN placed p ON p.row = docs.row AND p.n = 8 JOIN placed g ON g.row = docs.row AND g.n = 9, lookup
+    """,
 }
