@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from binloom.functions.columns import rounded
-from binloom.operators import intervals, stitch
+from binloom.operators import disjoint, intervals, stitch
 from binloom.params import MARKS, STAGES
 from binloom.plans import adapters as A
 from binloom.plans.sql import with_ctes, r6
@@ -354,3 +354,27 @@ def flank_counts(spark, sf):
     sides = intervals.flanks(A.regions(spark, sf).select("chrom", "rid", "start", "end"))
     spots = A.points(spark, sf).select("chrom", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"))
     return intervals.count_overlaps(sides, spots, name="n").select("rid", "side", "n")
+
+
+@query(
+    "greedy_disjoint",
+    with_ctes(
+        """SELECT rid, chrom, s AS "start", e AS "end" FROM (SELECT unnest(kept, recursive := true) FROM walk WHERE step = (SELECT max(n) FROM ranked))""",
+        "regions",
+        extra=(
+            """listed AS MATERIALIZED (SELECT rid, 'a' || (rid % 25) AS chrom, "start" AS s, "end" AS e, rid * 7919 % 10007 AS p FROM regions)""",
+            "ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY p, rid) AS n FROM listed)",
+            """walk(chrom, step, kept) AS (SELECT chrom, 0::BIGINT, []::STRUCT(rid BIGINT, chrom VARCHAR, s BIGINT, e BIGINT)[] FROM (SELECT DISTINCT chrom FROM listed)
+            UNION ALL SELECT w.chrom, w.step + 1, CASE WHEN r.rid IS NULL OR len(list_filter(w.kept, lambda k: k.s < r.e AND r.s < k.e)) > 0 THEN w.kept
+              ELSE list_append(w.kept, {'rid': r.rid, 'chrom': r.chrom, 's': r.s, 'e': r.e}) END
+            FROM walk w LEFT JOIN ranked r ON r.chrom = w.chrom AND r.n = w.step + 1 WHERE w.step < (SELECT max(n) FROM ranked))""",
+        ),
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def greedy_disjoint(spark, sf):
+    """Regions of orders that a loop in scattered priority would keep, on 25 shared axes."""
+    rows = A.regions(spark, sf).select(
+        "rid", F.concat(F.lit("a"), (F.col("rid") % 25).cast("string")).alias("chrom"), "start", "end",
+        (F.col("rid") * 7919 % 10007).alias("p"),
+    )
+    return disjoint.greedy_disjoint(rows, ["p", "rid"]).drop("p")
