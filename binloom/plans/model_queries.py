@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from binloom.functions.columns import rounded
-from binloom.operators import controls, intervals, mfa, neighbours, sampling, trees, terms, tests, validity
+from binloom.operators import controls, intervals, mfa, neighbours, sampling, spanning, trees, terms, tests, validity
 from binloom.params import MARKS
 from binloom.plans import adapters as A
 from binloom.plans import chain
@@ -322,3 +323,31 @@ def tree_path_distance(spark, sf):
 def feature_chain(spark, sf):
     """Cleaned, pruned and standardised feature matrix of the whole chain."""
     return chain.run_features(A.marked_cells(spark, sf).groupBy("chrom", "stage", "bin").agg(*[F.max(m).alias(m) for m in MARKS]), A.SEGMENT_LEN).standard
+
+
+@query(
+    "spanning_forest",
+    f"""SELECT c_custkey // 500 AS block, count(*) - 1 AS n_edges, {r6('max(c_acctbal) - min(c_acctbal)')} AS weight
+    FROM customer GROUP BY 1 HAVING count(*) > 1""",
+)
+def spanning_forest(spark, sf):
+    """Least forest over customers, linked to the next four of their block of 500 by balance."""
+    block = F.floor(F.col("c_custkey") / 500).cast("long").alias("block")
+    rows = A.table(spark, sf, "customer").select(block, "c_custkey", F.col("c_acctbal").cast("double").alias("x"))
+    order = Window.partitionBy("block").orderBy("x", "c_custkey")  # at most 500 rows
+    ahead = [F.struct(F.lead("c_custkey", k).over(order).alias("dst"), (F.lead("x", k).over(order) - F.col("x")).alias("weight")).alias(f"_{k}") for k in range(1, 5)]
+    linked = rows.select(F.col("c_custkey").alias("src"), *ahead)
+    links = cut_lineage(linked.select("src", F.inline(F.array("_1", "_2", "_3", "_4"))).filter("dst IS NOT NULL"))
+    found = spanning.spanning_forest(links.select("src", "dst", "weight"))
+    blocks = rows.select(F.col("c_custkey").alias("src"), "block")
+    return found.join(blocks, "src").groupBy("block").agg(F.count("*").alias("n_edges"), rounded(F.sum("weight")).alias("weight"))
+
+
+@query("principal_tree", "SELECT vec_id AS id, TRUE AS in_range FROM embeddings WHERE embedding IS NOT NULL")
+def principal_tree(spark, sf):
+    """Pseudotime of every embedding along a tree of 32 centres lies in [0, 1]."""
+    points = cut_lineage(vectors(spark, sf).filter("vec IS NOT NULL"))
+    edges, nodes = spanning.principal_tree(points, centres=32, rounds=2)
+    root = trees.root_leaf(edges, nodes.select("node", F.col("vec")[0].alias("x")))
+    timed = trees.pseudotime(neighbours.nearest_centre(points, nodes), cut_lineage(trees.tree_distances(edges, root)))
+    return timed.select("id", F.col("pseudotime").between(0.0, 1.0).alias("in_range"))
