@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from binloom.functions.columns import rounded
-from binloom.operators import controls, intervals, mfa, neighbours, sampling, spanning, trees, terms, tests, validity
+from binloom.operators import controls, intervals, mfa, neighbours, permutations, sampling, spanning, trees, terms, tests, validity
 from binloom.params import MARKS
 from binloom.plans import adapters as A
 from binloom.plans import chain
@@ -224,6 +224,43 @@ def permutation_test(spark, sf):
     return sampling.permutation_p(rows, ["rid"], "len", "cluster", spread, reps=20)
 
 
+@query(
+    "permuted_places",
+    """SELECT rep, count(*) AS n, count(*) AS n_places, 0::BIGINT AS least, count(*) - 1 AS most
+    FROM orders, (SELECT unnest(range(1, 6))::INTEGER AS rep) GROUP BY rep""",
+)
+def permuted_places(spark, sf):
+    """Each replicate sends the rows to places that all differ and leave no gap."""
+    rows, n = permutations.numbered(A.table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"])
+    return permutations.permuted_rows(rows, n, 5).groupBy("rep").agg(
+        F.count("*").alias("n"), F.count_distinct("place").alias("n_places"), F.min("place").alias("least"), F.max("place").alias("most")
+    )
+
+
+@query(
+    "permuted_features",
+    """SELECT rep, count(*) AS n, sum(l_quantity * 100)::BIGINT AS quantity, sum(l_extendedprice * 100)::BIGINT AS price,
+      sum(l_discount * 100)::BIGINT AS discount FROM lineitem, (SELECT unnest(range(1, 4))::INTEGER AS rep) GROUP BY rep""",
+)
+def permuted_features(spark, sf):
+    """Columns of order lines, each in an order of its own: rows stay complete and sums stay the same."""
+    cents = lambda c: F.round(F.col(c).cast("double") * 100).alias(c)
+    columns = ["l_quantity", "l_extendedprice", "l_discount"]
+    rows, n = permutations.numbered(A.table(spark, sf, "lineitem").select(*map(cents, columns)))
+    sums = [F.sum(F.col(c).cast("long")).alias(name) for c, name in zip(columns, ("quantity", "price", "discount"))]
+    return permutations.permuted_features(rows, n, columns, 3).groupBy("rep").agg(F.count("*").alias("n"), *sums)
+
+
+@query(
+    "permuted_labels",
+    """SELECT rep, o_orderpriority AS label, count(*) AS n FROM orders, (SELECT unnest(range(1, 6))::INTEGER AS rep) GROUP BY 1, 2""",
+)
+def permuted_labels(spark, sf):
+    """Each replicate deals every label out as often as it is there."""
+    rows, n = permutations.numbered(A.table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("label")), ["o_orderkey"])
+    return permutations.permuted_labels(cut_lineage(rows), n, "label", 5).groupBy("rep", "label").agg(F.count("*").alias("n"))
+
+
 @query("mfa_eigenvalues")
 def mfa_eigenvalues(spark, sf):
     """Eigenvalues of the multiple factor analysis of the embeddings."""
