@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from binloom.functions.columns import rounded
-from binloom.operators import ranks, tests
+from binloom.operators import density, ranks, tests
 from binloom.plans import adapters as A
 from binloom.plans.sql import r6, with_ctes
 
@@ -277,3 +277,26 @@ def test_p_values(spark, sf):
     ks = tests.with_ks_p(ranks.ks_distance(lens, ["cluster"], "len", "stage", "d0", "d15"), "ks_p")
     kw = tests.with_kruskal_p(ranks.kruskal(lens, ["cluster"], "len", "stage"), "kruskal_p")
     return welch.join(ks, "cluster").join(kw, "cluster").select("cluster", *r("welch_p", "ks_p", "kruskal_p"))
+
+
+_GRID = 128
+_BANDWIDTH = """0.9 * coalesce(nullif(least(sd, (q3 - q1) / 1.34), 0), nullif(sd, 0), nullif(abs(lo), 0), 1) * pow(n, -0.2)"""
+
+
+@query(
+    "density_curves",
+    f"""WITH s AS (SELECT l_returnflag AS flag, count(*) AS n, min(l_extendedprice)::DOUBLE AS lo, max(l_extendedprice)::DOUBLE AS hi,
+        stddev_samp(l_extendedprice::DOUBLE) AS sd, quantile_cont(l_extendedprice::DOUBLE, 0.25) AS q1, quantile_cont(l_extendedprice::DOUBLE, 0.75) AS q3
+      FROM lineitem GROUP BY 1),
+    b AS (SELECT flag, n, lo - 3 * bw AS x0, (hi - lo + 6 * bw) / {_GRID - 1} AS step, bw FROM (SELECT *, {_BANDWIDTH} AS bw FROM s)),
+    p AS (SELECT b.*, (l_extendedprice::DOUBLE - x0) / step AS place FROM lineitem JOIN b ON flag = l_returnflag),
+    w AS (SELECT flag, k, sum(w) / any_value(n) AS w FROM (SELECT flag, n, floor(place)::BIGINT AS k, 1 - (place - floor(place)) AS w FROM p
+      UNION ALL SELECT flag, n, floor(place)::BIGINT + 1, place - floor(place) FROM p) GROUP BY 1, 2)
+    SELECT b.flag, g.k AS "at", {r6('x0 + g.k * step')} AS x,
+      {r6('1e6 * (SELECT sum(w.w * exp(-pow((w.k - g.k) * step / bw, 2) / 2)) FROM w WHERE w.flag = b.flag) / (bw * sqrt(2 * pi()))')} AS density
+    FROM b, (SELECT unnest(range({_GRID})) AS k) g""",
+)
+def density_curves(spark, sf):
+    """Density of prices per return flag, by a million."""
+    rows = A.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").cast("double").alias("price"))
+    return density.density_curve(rows, ["flag"], "price", _GRID).select("flag", "at", *r("x"), rounded(F.col("density") * 1e6).alias("density"))
