@@ -92,7 +92,7 @@ def region_masks(
     """Bit masks of every region: bins ``floor(start/bin) .. ceil(end/bin) - 1``.
 
     Regions come out of ``split_long``, which bounds their width; a region of more than
-    62 bins raises an error rather than losing bins.
+    62 bins raises an error rather than losing bins: ``wide.region_features`` takes any width.
     """
     names = [mask_name(m, s) for m in marks for s in stages]
     first = floor_to_grid(F.col("start"), bin_size)
@@ -189,6 +189,12 @@ def features_from_masks(
         columns |= {f"{a}_vs_{b}_{stage}_jaccard": _jaccard(a, b, stage) for a, b in pairs}
     columns |= {f"HDC_{a}_vs_{b}_cos": _concordance(a, b, stages) for a, b in pairs}
     wide = masks.selectExpr(key, *[f"{value} AS `{name}`" for name, value in columns.items()])
+    return with_mean_jaccard(wide, key, marks, stages)
+
+
+def with_mean_jaccard(wide: DataFrame, key: str, marks: Sequence[str] = MARKS, stages: Sequence[str] = STAGES) -> DataFrame:
+    """``wide`` with the mean over the known pairs of each stage, columns in the order of ``feature_names``."""
+    pairs = list(combinations(marks, 2))
     means = []
     for stage in stages:
         known = ", ".join(f"`{a}_vs_{b}_{stage}_jaccard`" for a, b in pairs)

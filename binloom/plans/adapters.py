@@ -15,6 +15,7 @@ from binloom.session import cut_lineage
 
 EPOCH = "1995-01-01"
 SEGMENT_LEN = 3
+WIDE_BINS = (80, 150)
 
 # Order-line predicates that play the role of the eight marks, in mark order.
 MARK_RULES = (
@@ -108,6 +109,21 @@ def roi_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.region_masks(rois(spark, sf_dir), words(spark, sf_dir))
 
 
+def wide_rois(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chromosome whole and in tiles of ``WIDE_BINS``, beyond what one mask of bits holds."""
+    last = marked_cells(spark, sf_dir).agg(F.max("bin")).scalar()
+    chroms = table(spark, sf_dir, "supplier").select(F.concat(F.lit("chr"), F.col("s_suppkey").cast("string")).alias("chrom"))
+    tiles = chroms.withColumn("last", last).withColumn("width", F.explode(F.array(*map(F.lit, WIDE_BINS), F.col("last") + 1)))
+    tiles = tiles.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / F.col("width")).cast("long"))))
+    start = F.col("tile") * F.col("width")
+    return cut_lineage(
+        tiles.select(
+            "chrom", (start * 200).alias("start"), (F.least(start + F.col("width"), F.col("last") + 1) * 200).alias("end"),
+            F.concat_ws(":", "chrom", "width", "tile").alias("roi"),
+        )
+    )
+
+
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One region per order: from the order day to its last ship day."""
     shipped = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(

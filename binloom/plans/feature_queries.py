@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from binloom.functions.columns import rounded
 from binloom.operators import features as X
+from binloom.operators import wide
 from binloom.params import MARKS, PATTERNS
 from binloom.plans import adapters as A
 from binloom.plans.sql import r6, with_ctes
@@ -122,3 +123,43 @@ _BALANCE = """bal AS (SELECT roi, sum(CASE WHEN mark IN ('H3K4me1','H3K27ac') TH
 )
 def switch_score(spark, sf):
     return X.switch_score(A.roi_features(spark, sf)).withColumn("switch_score", rounded(F.col("switch_score")))
+
+
+_WIDE = {
+    "rois": (
+        f"""rois AS (SELECT chrom, tile * width * 200 AS "start", least(tile * width + width, last + 1) * 200 AS "end",
+        chrom || ':' || width || ':' || tile AS roi FROM (SELECT *, unnest(range(0, last // width + 1)) AS tile FROM
+        (SELECT 'chr' || s_suppkey AS chrom, last, unnest([{', '.join(map(str, A.WIDE_BINS))}, last + 1]) AS width
+         FROM supplier, (SELECT max(bin) AS last FROM cells))))""",
+        ["cells"],
+    )
+}
+
+
+def _wide_long(spark, sf, names):
+    found = wide.region_features(A.wide_rois(spark, sf), A.words(spark, sf))
+    return X.long_features(found, names).withColumn("value", rounded(F.col("value")))
+
+
+@query("wide_spatial", with_ctes(_SPATIAL, "spatial", "maxseg", instead=_WIDE))
+def wide_spatial(spark, sf):
+    return _wide_long(spark, sf, X.spatial_names())
+
+
+@query("wide_patterns", with_ctes(_PATTERNS, "roibins", extra=(_PATS,), instead=_WIDE))
+def wide_patterns(spark, sf):
+    return _wide_long(spark, sf, X.temporal_names())
+
+
+@query(
+    "wide_jaccard",
+    with_ctes(
+        f"""SELECT roi, ma || '_vs_' || mb || '_' || stage || '_jaccard' AS feature, {r6('j')} AS value FROM jac
+        UNION ALL SELECT roi, 'mean_jaccard_' || stage, {r6('avg(j)')} FROM jac GROUP BY roi, stage""",
+        "roibins",
+        extra=(_JACC,),
+        instead=_WIDE,
+    ),
+)
+def wide_jaccard(spark, sf):
+    return _wide_long(spark, sf, X.jaccard_names())

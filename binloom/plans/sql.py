@@ -105,17 +105,22 @@ NEEDS = {
 SHARED = {"roibins", "spatial", "maxseg"}
 
 
-def with_ctes(body: str, *names: str, extra: tuple[str, ...] = ()) -> str:
-    """``body`` preceded by the named table expressions and all they need."""
+def with_ctes(body: str, *names: str, extra: tuple[str, ...] = (), instead: dict[str, tuple[str, list[str]]] | None = None) -> str:
+    """``body`` preceded by the named table expressions and all they need.
+
+    ``instead`` gives other expressions, and what those need, for some of the names.
+    """
     ordered: list[str] = []
+    needs = NEEDS | {name: need for name, (_, need) in (instead or {}).items()}
+    texts = CTES | {name: text for name, (text, _) in (instead or {}).items()}
 
     def add(name: str) -> None:
-        for need in NEEDS.get(name, []):
+        for need in needs.get(name, []):
             add(need)
         if name not in ordered:
             ordered.append(name)
 
     for name in names:
         add(name)
-    parts = [CTES[n].replace(" AS (", " AS MATERIALIZED (", 1) if n in SHARED else CTES[n] for n in ordered] + list(extra)
+    parts = [texts[n].replace(" AS (", " AS MATERIALIZED (", 1) if n in SHARED else texts[n] for n in ordered] + list(extra)
     return f"WITH {', '.join(parts)} {body}" if parts else body
