@@ -69,7 +69,7 @@ def _placed(regions: DataFrame, key: str, bin_size: int, chroms: DataFrame | Non
     begin = F.col("word") * bits.WORD
     return rows.select(
         key, "chrom", "word", (F.col("_stop") - F.col("_first")).alias("n_bins"), (begin - F.col("_first")).alias("_ahead"),
-        F.greatest(F.col("_first") - begin, F.lit(0)).alias("_lo"), F.least(F.col("_stop") - begin, F.lit(bits.WORD)).alias("_hi"),
+        (F.col("_stop") - begin <= bits.WORD).alias("_ends"), F.greatest(F.col("_first") - begin, F.lit(0)).alias("_lo"), F.least(F.col("_stop") - begin, F.lit(bits.WORD)).alias("_hi"),
     )
 
 
@@ -100,8 +100,10 @@ def region_sums(
     follows = F.col("_ahead") > 0
     rows = rows.select(
         key, "n_bins", "_ahead", "_in",
-        # Bins whose predecessor lies in the region: all but the first one of the region.
-        F.when(follows, F.col("_in")).otherwise(F.col("_in").bitwiseAND(F.col("_in") - 1)).alias("_later"),
+        # The first and the last bin of the region, where the word holds them: a run that begins or ends there is no change.
+        F.when(follows, zero).otherwise(F.col("_in").bitwiseAND(-F.col("_in"))).bitwiseOR(
+            F.when(F.col("_ends"), bits.low_bits(F.col("_hi")) - bits.low_bits(F.col("_hi") - 1)).otherwise(zero)
+        ).alias("_edge"),
         *[F.coalesce(F.col(n), zero).bitwiseAND(F.col("_in")).alias(n) for n in names],
         *[F.when(follows, F.least(F.coalesce(F.col(run_name(n)), zero), F.col("_ahead"))).otherwise(zero).alias(run_name(n)) for n in names],
     )
@@ -109,15 +111,16 @@ def region_sums(
     for n in names:
         mask, led = F.col(n), F.col(run_name(n))
         shifted = F.shiftleft(mask, 1).bitwiseOR((led > 0).cast("long"))
+        starts = F.bit_count(mask.bitwiseAND(F.bitwise_not(shifted)))
         ones = F.bit_count(mask)
         digits = [F.bit_count(mask.bitwiseAND(F.lit(sum(1 << i for i in range(bits.WORD) if i >> d & 1)))) * (1 << d) for d in range(5)]
         lengths = F.transform(F.split(F.bin(mask), "0"), lambda r: F.length(r))
         sums += [
             F.sum(ones).alias(f"ones_{n}"),
             F.sum(sum(digits[1:], digits[0]) + ones * (F.col("_ahead") + 1)).alias(f"place_{n}"),
-            F.sum(F.bit_count(mask.bitwiseAND(F.bitwise_not(shifted)))).alias(f"runs_{n}"),
+            F.sum(starts).alias(f"runs_{n}"),
             F.max(F.greatest(F.array_max(lengths), F.element_at(lengths, -1) + led)).cast("long").alias(f"best_{n}"),
-            F.sum(F.bit_count(mask.bitwiseXOR(shifted).bitwiseAND(F.col("_later")))).alias(f"flips_{n}"),
+            F.sum(starts * 2 - F.bit_count(mask.bitwiseAND(F.col("_edge")))).alias(f"flips_{n}"),
         ]
     for mark in marks:
         for pattern in PATTERNS:
