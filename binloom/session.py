@@ -8,6 +8,9 @@ import shutil
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -47,12 +50,39 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+#: Tables cut inside the open scopes, innermost last.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that ``cut_lineage`` writes inside, unless cut with ``keep``, on leaving.
+
+    What is computed inside must be written by then: frames that still read those tables
+    fail afterwards. A failed run leaves no tables either.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def cut_lineage(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Later operators scan the table several times: with pruned columns, known sizes, and
-    nothing to recompute when an executor is lost.
+    nothing to recompute when an executor is lost. ``keep`` lets the table outlive an open
+    ``scratch_tables``.
     """
     path = f"{shared_folder(df.sparkSession)}/binloom-{uuid.uuid4().hex}"
+    if _scopes and not keep:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
