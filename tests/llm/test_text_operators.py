@@ -1,6 +1,7 @@
 """The text operators against brute force, and on the cases that tables can hold."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -18,6 +19,7 @@ from binloom.llm.exact_dedup import deduplicated, exact_duplicates, without
 from binloom.llm.hashing import NOT_SPACE, RollingHash, spans
 from binloom.llm.token_frames import FrameReader, FrameWriter, read_token_files, write_token_files
 from binloom.llm.transducer import Transducer, token_counts
+from binloom.session import shared_folder
 
 BYTE, WORD = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("word_bpe_49k.json")
 # Names that operators use inside themselves.
@@ -622,8 +624,11 @@ def test_pipeline_takes_effect(spark, tmp_path):
     labels = spark.createDataFrame([(k, 1, int(k < 30)) for k in texts], "doc_id long, quality int, toxic int")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    tables = lambda: {t for t in os.listdir(shared_folder(spark).removeprefix("file:")) if t.startswith("binloom-")}
     for name, stage in corpus_pipeline.STAGES:
+        before = tables()
         docs = stage(spark, docs, str(tmp_path))
+        assert name == "packing" or len(tables() - before) == 1
         docs.write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         kept[name] = {r.doc_id: r for r in docs.collect()}
