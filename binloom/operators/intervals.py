@@ -14,7 +14,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from binloom.functions.columns import round_to_grid
-from binloom.operators.scan import CHUNK, Running, position_chunk, running
+from binloom.operators.scan import CHUNK, Running, joinable, position_chunk, running
 from binloom.params import DEFAULTS
 
 CHROM = ("chrom",)
@@ -101,22 +101,24 @@ def count_overlaps(
     ).select(
         *on,
         "_m._pos",
-        F.lit(False).alias("_asked"),
+        F.lit(0).cast("long").alias("_asked"),
         *[(F.col("_m._begin") & F.col(f"_is_{n}")).cast("long").alias(f"_s_{n}") for n in out],
         *[(~F.col("_m._begin") & F.col(f"_is_{n}")).cast("long").alias(f"_e_{n}") for n in out],
     )
     sides = [f"_{side}_{n}" for side in "se" for n in out]
     asked = a.select(*on, F.explode(F.array(upto, before)).alias("_pos")).select(
-        *on, "_pos", F.lit(True).alias("_asked"), *[F.lit(0).cast("long").alias(c) for c in sides]
+        *on, "_pos", F.lit(1).cast("long").alias("_asked"), *[F.lit(0).cast("long").alias(c) for c in sides]
     )
     positions = (
         marks.unionByName(asked)
         .groupBy(*on, "_pos")
-        .agg(F.bool_or("_asked").alias("_asked"), *[F.sum(c).alias(c) for c in sides])
+        .agg(F.max("_asked").alias("_asked"), *[F.sum(c).alias(c) for c in sides])
+    )
+    # All columns are named in the scan and in the filter, so both joins share its shuffles.
+    specs = [Running("_ever", "max", "_asked"), *[Running(f"_run{c}", "sum", c) for c in sides]]
+    totals = running(positions, on, "_pos", specs, width).filter(
+        (F.least("_asked", "_ever") == 1) & (F.greatest("_asked", *[f"_run{c}" for c in sides]) >= 0)
     )
-    totals = running(
-        positions, on, "_pos", [Running(f"_run{c}", "sum", c) for c in sides], width
-    ).filter("_asked")
     begun = totals.select(*on, F.col("_pos").alias("_upto"), *[f"_run_s_{n}" for n in out])
     ended = totals.select(*on, F.col("_pos").alias("_before"), *[f"_run_e_{n}" for n in out])
     return (
@@ -161,6 +163,7 @@ def regions_of(
         .agg(F.max(F.col("end").cast("long")).alias("end"), *extra)
         .withColumn(CHUNK, position_chunk("start", width))
     )
+    starts = joinable(starts, group)
     inside = Window.partitionBy(*group).orderBy("start")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     local = (
@@ -178,11 +181,12 @@ def regions_of(
         .withColumn("_far", F.max("_end").over(earlier))
         .withColumn("_opened", F.when(_beyond("_last", "_far", slack), F.col("_last")))
         .withColumn("_from", F.last("_opened", ignorenulls=True).over(earlier))
+        .filter("_far is not null")
         .select(*group, "_far", "_from")
     )
     region = F.when(_beyond("_open", "_far", slack), F.col("_open")).otherwise(F.col("_from"))
     kept = [c for c in starts.columns if c != CHUNK]
-    return local.join(carried, group).select(*kept, region.alias("region_start"))
+    return local.join(carried, group, "left").select(*kept, region.alias("region_start"))
 
 
 def _beyond(start: str, reached: str, slack: int) -> Column:

@@ -82,6 +82,14 @@ def with_value_chunk(df: DataFrame, value: str, chunks: int = 256) -> DataFrame:
     return df.withColumn("_splits", splits).withColumn(CHUNK, place.cast("long")).drop("_splits")
 
 
+def joinable(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows without null in ``columns``, the only ones that an inner join on them lets through.
+
+    Said before a frame is used twice, both uses read the same rows, and Spark shuffles these once.
+    """
+    return df.filter(" and ".join(f"`{c}` is not null" for c in columns))
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -92,16 +100,20 @@ def running(
 ) -> DataFrame:
     """Add the running values of ``specs`` to ``df``, which has one row per (keys, position).
 
+    Rows without a key or position go. Only chunks that others come before in scan order are
+    carried into, so keys of one chunk cost no second shuffle. ``df`` is shuffled once for both
+    levels as long as ``specs`` name all its columns.
+
     ``keep_chunk`` leaves the chunk column in the result; a following scan over the same
     keys then finds its rows already partitioned.
     """
     keys = list(keys)
+    group = keys + [CHUNK]
     if CHUNK in df.columns:
-        frame = df
+        frame = joinable(df, group)
     else:
-        frame = df.withColumn(CHUNK, position_chunk(position, width))
+        frame = joinable(df.withColumn(CHUNK, position_chunk(position, width)), group).repartition(*group)
     kept = [c for c in df.columns if c != CHUNK] + ([CHUNK] if keep_chunk else [])
-    group = keys + [CHUNK]
     orders = {True: F.col(position).asc(), False: F.col(position).desc()}
 
     def inner(spec: Running):
@@ -137,8 +149,9 @@ def running(
                 for spec in specs
             ],
         )
+        .filter(" or ".join(f"`_carry_{spec.name}` is not null" for spec in specs))
     )
-    joined = local.join(carries, group)
+    joined = local.join(carries, group, "left")
     return joined.select(
         *kept,
         *[
