@@ -127,9 +127,16 @@ def permuted_features(
     cells = F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).cast("double").alias("v")) for k, c in enumerate(columns)])
     long = _replicated(rows.select(place, F.inline(cells)), reps)
     key = (F.col("rep") + F.lit(seed * 1_000_003)) * F.lit(len(columns) + 1) + F.col("k") + 1
-    sent = long.withColumn(place, moved(place, key, n))
-    values = [F.max(F.when(F.col("k") == k, F.col("v"))).alias(c) for k, c in enumerate(columns)]
-    return sent.groupBy("rep", place).agg(*values)
+    # A cell travels as one number for replicate, place and column, and its value.
+    bits = max(1, (len(columns) - 1).bit_length())
+    row = F.col("rep").cast("long") * n + moved(place, key, n)
+    sent = long.select((F.shiftleft(row, bits) + F.col("k")).alias("_cell"), "v")
+    to = F.shiftright("_cell", bits)
+    own = F.col("_cell") - F.shiftleft(to, bits)
+    values = [F.max(F.when(own == k, F.col("v"))).alias(c) for k, c in enumerate(columns)]
+    met = sent.repartition(to).groupBy(to.alias("_row")).agg(*values)
+    at = F.col("_row") % n
+    return met.select(((F.col("_row") - at) / n).cast("int").alias("rep"), at.alias(place), *columns)
 
 
 def permutation_statistic(

@@ -87,3 +87,18 @@ def test_statistic_equals_loop(spark):
             if mode != "rows":  # whole rows: all replicates are the observed one up to rounding
                 beyond = null >= seen if kind == "greater" else np.abs(null - null.mean()) >= abs(seen - null.mean())
                 assert row["p"] == pytest.approx((beyond.sum() + 1) / (reps + 1))
+
+
+def test_permuted_cells_travel_bare(spark):
+    """A cell is shuffled as its place and value, not as a row of the whole width; nothing is lost."""
+    rows = spark.createDataFrame([(i, i * 1.0, None if i == 3 else i * 10.0) for i in range(50)], "place long, a double, b double")
+    made = permuted_features(rows, 50, ["a", "b"], 3)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
+    got = made.collect()
+    assert made.dtypes == [("rep", "int"), ("place", "bigint"), ("a", "double"), ("b", "double")]
+    for rep in (1, 2, 3):
+        mine = [r for r in got if r["rep"] == rep]
+        assert sorted(r["place"] for r in mine) == list(range(50))
+        assert sorted(r["a"] for r in mine) == [i * 1.0 for i in range(50)]
+        assert sorted(-1.0 if r["b"] is None else r["b"] for r in mine) == sorted(-1.0 if i == 3 else i * 10.0 for i in range(50))
