@@ -30,6 +30,21 @@ def test_neighbours_many_pivots_and_blocks(spark, monkeypatch):
     assert len(got) == 180 and all(got[i] == set(want[i]) for i in range(180))
 
 
+def test_one_product_leaves_few_pairs_and_loses_none():
+    rng = np.random.default_rng(3)
+    b = rng.normal(size=(900, 16)) + 1000.0  # most digits of the squares cancel
+    b[400:420] = b[7]
+    a, same = b[:50], np.eye(50, 900, dtype=bool)
+    i, j = neighbours._may_be_nearest(a, b, same, 10)
+    assert len(i) < 50 * 40
+    found, far = set(zip(i.tolist(), j.tolist())), neighbours.gaps(a, b)
+    far[same] = np.inf
+    limit = np.sort(far, axis=1)[:, 9]
+    assert all((r, c) in found for r in range(50) for c in np.flatnonzero(far[r] <= limit[r]))
+    b[3, 2] = np.nan
+    assert len(neighbours._may_be_nearest(a, b, same, 10)[0]) == 50 * 899
+
+
 def test_copies_spread_their_neighbours(spark):
     x = np.vstack([np.zeros((200, 2)), np.ones((20, 2))])
     near = neighbours.nearest_neighbours(points(spark, x), 5)
