@@ -140,6 +140,25 @@ def without_overlap(a: DataFrame, b: DataFrame, **kwargs) -> DataFrame:
     return count_overlaps(a, b, name="_n", **kwargs).filter("_n = 0").drop("_n")
 
 
+def windows_met(
+    a: DataFrame,
+    b: DataFrame,
+    window: str = "bin",
+    on: Sequence[str] = CHROM,
+    size: int = DEFAULTS.bin_size,
+    met: bool = True,
+) -> DataFrame:
+    """Rows of ``a`` whose grid window an interval of ``b`` shares a base with, or with ``met=False`` those of no such window.
+
+    ``window`` numbers the windows of ``size`` bases from position 0. Intervals become the windows they
+    touch, so ``a`` is shuffled once and meets them by equality; the work is linear in the
+    rows of ``a`` and the total length of ``b``. Rows without a key or a window go.
+    """
+    first, last = (F.floor(c / size).cast("long") for c in (F.col("start"), F.col("end") - 1))
+    touched = b.filter("start < end").select(*on, F.explode(F.sequence(first, last)).alias(window))
+    return joinable(a, [*on, window]).join(touched, [*on, window], "left_semi" if met else "left_anti")
+
+
 def regions_of(
     df: DataFrame,
     keys: Sequence[str] = CHROM,

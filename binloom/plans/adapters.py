@@ -6,7 +6,9 @@ or per customer, one bin per ship week, one region per order, one point per orde
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binloom.operators import features, intervals, stitch
@@ -53,10 +55,30 @@ def marked_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _per_bin(cells: DataFrame) -> DataFrame:
+    """One row per (chrom, stage, bin) with the largest value of every mark.
+
+    The marks travel as one number, a bit for every 1 and one for every value that is not
+    null, so a row of the grouping stays small however many marks there are.
+    """
+    n = len(MARKS)
+    flags = [F.when(F.col(m) == 1, 1 << k | 1 << (n + k)).when(F.col(m).isNotNull(), 1 << (n + k)).otherwise(0) for k, m in enumerate(MARKS)]
+    packed = cells.select("chrom", "stage", "bin", reduce(Column.bitwiseOR, flags).alias("_bits"))
+    bit = lambda k: F.shiftright("_bits", k).bitwiseAND(1)
+    return packed.groupBy("chrom", "stage", "bin").agg(F.bit_or("_bits").alias("_bits")).select(
+        "chrom", "stage", "bin", *[F.when(bit(n + k) == 1, bit(k)).alias(m) for k, m in enumerate(MARKS)]
+    )
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bins that order lines fall in, with one 0/1 column per mark."""
+    return _per_bin(marked_cells(spark, sf_dir))
+
+
 def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete tiling (chrom, stage, bin) with one 0/1 column per mark."""
-    cells = marked_cells(spark, sf_dir)
-    last = cells.agg(F.max("bin")).scalar()
+    lines = marked_cells(spark, sf_dir)
+    last = lines.agg(F.max("bin")).scalar()
     grid = (
         table(spark, sf_dir, "supplier")
         .select(F.concat(F.lit("chr"), F.col("s_suppkey").cast("string")).alias("chrom"))
@@ -64,11 +86,7 @@ def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), last)))
         .select("chrom", "stage", "bin", *[F.lit(0).alias(m) for m in MARKS])
     )
-    return (
-        cells.unionByName(grid)
-        .groupBy("chrom", "stage", "bin")
-        .agg(*[F.max(m).alias(m) for m in MARKS])
-    )
+    return _per_bin(lines.unionByName(grid))
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -197,8 +197,8 @@ def bivalent_fraction(spark, sf):
     ),
 )
 def coverage_inside_segments(spark, sf):
-    tiles = A.bins(spark, sf).withColumn("start", F.col("bin") * 200).withColumn("end", F.col("start") + 200)
-    inside = intervals.with_overlap(tiles, A.segments(spark, sf), on=("stage", "chrom"))
+    # Segments are made of marked cells, so the empty tiles of the grid lie in none.
+    inside = intervals.windows_met(A.cells(spark, sf), A.segments(spark, sf), on=("stage", "chrom"))
     means = inside.groupBy("stage").agg(*[F.avg(m).alias(m) for m in MARKS])
     return means.unpivot(["stage"], list(MARKS), "mark", "inside").select("mark", "stage", *r("inside"))
 

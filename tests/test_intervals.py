@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from binloom.operators import intervals, stitch
 from binloom.operators.scan import Running, running
+from binloom.params import MARKS
+from binloom.plans import adapters
 
 
 def rows(df, *columns):
@@ -149,3 +151,25 @@ def test_origin_name_rounds_half_even(spark):
     segs = frame(spark, [("a", 0, 400, "d0"), ("a", 400, 800, "d7")], "chrom string, start long, end long, stage string")
     got = intervals.origin_names(rois, segs, ("d0", "d7")).first()
     assert got["peak"] == "d0_a:0:400" and got["start"] == 100
+
+
+def test_windows_met(spark):
+    tiles = spark.createDataFrame([("a", k) for k in range(12)] + [("b", 3), (None, 3), ("a", None)], "chrom string, bin long")
+    spans = spark.createDataFrame([("a", 200, 600), ("a", 500, 601), ("a", 1999, 2000), ("a", 700, 700), (None, 0, 900)], "chrom string, start long, end long")
+    met = intervals.windows_met(tiles, spans, size=200)
+    assert sorted(r.bin for r in met.collect()) == [1, 2, 3, 9]
+    apart = intervals.windows_met(tiles, spans, size=200, met=False)
+    assert sorted((r.chrom, r.bin) for r in apart.collect()) == [("a", k) for k in (0, 4, 5, 6, 7, 8, 10, 11)] + [("b", 3)]
+
+
+def test_bins_are_grouped_by_small_rows(spark, tmp_path):
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    unknown = lines.limit(3).withColumns({"l_suppkey": F.lit(10**6).cast(lines.schema["l_suppkey"].dataType), "l_tax": F.lit(None).cast(lines.schema["l_tax"].dataType)})
+    lines.unionByName(unknown).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").write.parquet(str(tmp_path / "supplier.parquet"))
+    keys = ["chrom", "stage", "bin"]
+    expected = adapters.marked_cells(spark, str(tmp_path)).groupBy(*keys).agg(*[F.max(m).alias(m) for m in MARKS])
+    got = adapters.cells(spark, str(tmp_path))
+    assert got.exceptAll(expected).isEmpty() and expected.exceptAll(got).isEmpty()
+    plan = adapters.bins(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "partial_bit_or" in plan and "partial_max(H3" not in plan
