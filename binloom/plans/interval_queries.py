@@ -313,16 +313,8 @@ def overlap_anti(spark, sf):
     ),
 )
 def bins_outside_segments(spark, sf):
-    positive = (
-        A.marked_cells(spark, sf)
-        .select("stage", "chrom", "bin")
-        .distinct()
-        .withColumn("start", F.col("bin") * 200)
-        .withColumn("end", F.col("start") + 200)
-    )
-    return intervals.without_overlap(positive, A.segments(spark, sf), on=("stage", "chrom")).select(
-        "stage", "chrom", "bin"
-    )
+    marked = A.marked_cells(spark, sf).select("stage", "chrom", "bin").distinct()
+    return intervals.windows_met(marked, A.segments(spark, sf), on=("stage", "chrom"), met=False).select("stage", "chrom", "bin")
 
 
 @query(
