@@ -6,6 +6,8 @@ prefixes stand side by side. A document takes its nearest neighbours in each ord
 candidates, so it looks only as deep as its region is crowded: far down among thousands of
 alike documents, at the first place where it has few neighbours. Candidates whose whole
 signatures are far apart are left out; the others are confirmed on their full shingle sets.
+Crowds that agree in the first places of a tree and still fall into several components are
+then compared in whole, in blocks, since the neighbours of a row do not reach across them.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ PLACES = 64
 TREES = 20
 DEPTH = 8
 NEIGHBOURS = 6
+#: Rows that agree in so many first places of an order are all compared, however many they are.
+WHOLE_DEPTH = 4
+#: Rows of one side of a comparison inside such a crowd.
+CROWD_ROWS = 512
 #: Places that two signatures must share to be confirmed: 3.5 standard errors below a link.
 SHARED = 36
 
@@ -256,6 +262,96 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut_lineage(joined.mapInArrow(_linked, "a long, b long"))
 
 
+def _begin_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row once per tree with its first places there, as one number."""
+    for batch in batches:
+        places = _matrix(batch.column(2), "<u2", PLACES)
+        for tree, order in enumerate(ORDERS):
+            begin = np.ascontiguousarray(places[:, order[:WHOLE_DEPTH]]).view("<i8").ravel()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(places), tree, np.int32)), pa.array(begin), batch.column(0), batch.column(1)],
+                names=["tree", "begin", "id", "component"],
+            )
+
+
+def _crowd_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between components among the rows of each cell; cells come one after the other."""
+    held: pa.Table | None = None
+
+    def linked(rows: pa.Table) -> pa.RecordBatch:
+        found = _cross_links(rows.column("component").to_numpy(), [np.frombuffer(h, np.uint64) for h in rows.column("hashes").to_pylist()])
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        cell = np.stack([table.column(c).to_numpy() for c in ("tree", "begin", "low", "high")])
+        ends = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(0)) + 1
+        for begin, end in itertools.pairwise([0, *ends]):
+            yield linked(table.slice(begin, end - begin))
+        held = table.slice(ends[-1] if len(ends) else 0)
+    if held is not None:
+        yield linked(held)
+
+
+def _cross_links(component: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Pairs of different components with linked sets, from the exact sizes of all intersections."""
+    out = [np.zeros((2, 0), np.int64)]
+    if len(sets) and component.min() != component.max():
+        sizes = np.array([len(s) for s in sets])
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        known, word = np.unique(np.concatenate(sets), return_inverse=True)
+        has = np.zeros(len(known), np.int64)
+        for i in range(len(sets) - 1):
+            mine, begin = word[bounds[i] : bounds[i + 1]], bounds[i + 1]
+            has[mine] = 1
+            common = np.add.reduceat(has[word[begin:]], bounds[i + 1 : -1] - begin)
+            has[mine] = 0
+            alike = 100 * common >= PERCENT * (sizes[i] + sizes[i + 1 :] - common)
+            other = np.unique(component[i + 1 :][alike & (component[i + 1 :] != component[i])])
+            out.append(np.stack([np.full(len(other), component[i]), other]))
+    return np.unique(np.concatenate(out, 1), axis=1)
+
+
+def crowd_links(groups: DataFrame, rows: DataFrame) -> DataFrame | None:
+    """Links (a, b) between the components of rows that the search among neighbours did not compare.
+
+    ``groups`` has id, component and places. Rows that agree in the first ``WHOLE_DEPTH`` places
+    of a tree stand together there; up to ``NEIGHBOURS + 1`` of them are all neighbours. Larger crowds
+    of more than one component are compared in whole, in blocks of ``CROWD_ROWS``, on full sets.
+    None where there is no such crowd.
+    """
+    begins = groups.select("id", "component", "places").mapInArrow(_begin_rows, "tree int, begin long, id long, component long")
+    sizes = begins.groupBy("tree", "begin").agg(
+        F.count(F.lit(1)).alias("size"), F.min("component").alias("least"), F.max("component").alias("most")
+    )
+    crowds = cut_lineage(sizes.where((F.col("size") > NEIGHBOURS + 1) & (F.col("least") != F.col("most"))).select("tree", "begin", "size"))
+    if crowds.isEmpty():
+        return None
+    members = cut_lineage(begins.join(crowds, ["tree", "begin"]))
+    sets = sets_of(rows, cut_lineage(members.select("id").distinct()))
+    blocks = F.ceil(F.col("size") / CROWD_ROWS).cast("long")
+    own = F.pmod(F.xxhash64("id"), F.col("_blocks"))
+    cells = members.join(sets, "id").withColumn("_blocks", blocks).withColumn("_own", own).withColumn(
+        "_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
+    )
+    cell = ["tree", "begin", "low", "high"]
+    placed = cells.select(
+        "tree", "begin", F.least("_own", "_other").alias("low"), F.greatest("_own", "_other").alias("high"), "component", "hashes"
+    ).repartition(*cell).sortWithinPartitions(*cell)
+    return cut_lineage(placed.mapInArrow(_crowd_links, "a long, b long").distinct())
+
+
+def sets_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, hashes): the full set of one text of each of ``ids``.
+
+    Only texts that the filter lets through are shuffled to meet the exact list of ids.
+    """
+    bits, blocks = cell_filter(ids.select(F.col("id").alias("_hash")), ids.count())
+    likely = in_filter(rows.where("id IS NOT NULL").withColumn("_hash", F.col("id")), bits, blocks).where("_in")
+    sets = likely.select("id", "text").join(ids, "id", "left_semi").mapInArrow(_set_rows, "id long, hashes binary")
+    return cut_lineage(sets.dropDuplicates(["id"]))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ``n_shingles``, ``component_id`` and ``kept`` (the smallest id of its component).
 
@@ -274,11 +370,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = candidates(groups)
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     ends = cut_lineage(ends)
-    # Only texts that the filter lets through are shuffled to meet the exact list of ids.
-    bits, blocks = cell_filter(ends.select(F.col("id").alias("_hash")), ends.count())
-    likely = in_filter(rows.where("id IS NOT NULL").withColumn("_hash", F.col("id")), bits, blocks).where("_in")
-    sets = likely.select("id", "text").join(ends, "id", "left_semi").mapInArrow(_set_rows, "id long, hashes binary")
-    sets = cut_lineage(sets.dropDuplicates(["id"]))
+    sets = sets_of(rows, ends)
     # First each document's best candidate; of the others, those between components found so far.
     best = pairs.groupBy(F.col("a")).agg(F.max_by("b", "shared").alias("b")).unionByName(
         pairs.groupBy("b").agg(F.max_by("a", "shared").alias("a")).select("a", "b")
@@ -297,10 +389,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     joined = known.join(merged, "component", "left").select("id", F.coalesce("joined", "component").alias("component"))
     groups = cut_lineage(
-        groups.join(joined, "id", "left").select(
-            "print", "size", F.coalesce("component", "id").alias("component")
-        )
+        groups.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     )
+    crowded = crowd_links(groups, rows)
+    if crowded is not None:
+        merged = components(crowded).select(F.col("id").alias("component"), F.col("component").alias("joined"))
+        groups = cut_lineage(
+            groups.join(merged, "component", "left").withColumn("component", F.coalesce("joined", "component"))
+        )
+    groups = groups.select("print", "size", "component")
     linked = attach(named.select("id", "n", "print"), groups, "print", "size", signed.count())
     alone = signed.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component"))
     return linked.select("id", "n", "component").unionByName(alone).select(

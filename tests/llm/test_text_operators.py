@@ -232,6 +232,19 @@ def word_sets(texts):
         yield {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or ({tuple(words)} if words else set())
 
 
+def test_near_duplicates_in_a_crowd(spark):
+    """Texts of one template, below the limit of a link, and pairs among them above it."""
+    template, n = [f"t{k}" for k in range(100)], 600
+    texts = [" ".join([*template, *(f"u{k}x{j}" if j >= 4 or k >= 200 else f"p{k // 2}x{j}" for j in range(20))]) for k in range(n)]
+    ids = random.Random(5).sample(range(n), n)
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in lsh_forest.near_duplicates(docs).collect()}
+    expected = {i: i for i in ids}
+    for k in range(0, 200, 2):
+        expected[ids[k]] = expected[ids[k + 1]] = min(ids[k], ids[k + 1])
+    assert got == expected
+
+
 def test_near_duplicates(spark, prose):
     rng = random.Random(8)
     many = " ".join(str(k) for k in range(60)).split()
