@@ -70,9 +70,17 @@ def _per_bin(cells: DataFrame) -> DataFrame:
     )
 
 
+def _axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chromosomes of the tiling; its bins begin at 0."""
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("chr"), F.col("s_suppkey").cast("string")).alias("chrom"))
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bins that order lines fall in, with one 0/1 column per mark."""
-    return _per_bin(marked_cells(spark, sf_dir))
+    """The rows of ``bins`` that order lines fall in, without forming the others."""
+    found = _per_bin(marked_cells(spark, sf_dir))
+    tiled = _axes(spark, sf_dir).filter("chrom IS NOT NULL").distinct().withColumn("_tiled", F.lit(0))
+    zero = F.when(F.col("bin") >= 0, F.col("_tiled"))
+    return found.join(tiled, "chrom", "left").select("chrom", "stage", "bin", *[F.coalesce(m, zero).alias(m) for m in MARKS])
 
 
 def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +88,7 @@ def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = marked_cells(spark, sf_dir)
     last = lines.agg(F.max("bin")).scalar()
     grid = (
-        table(spark, sf_dir, "supplier")
-        .select(F.concat(F.lit("chr"), F.col("s_suppkey").cast("string")).alias("chrom"))
+        _axes(spark, sf_dir)
         .withColumn("stage", F.explode(F.array(*map(F.lit, STAGES))))
         .withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), last)))
         .select("chrom", "stage", "bin", *[F.lit(0).alias(m) for m in MARKS])

@@ -165,11 +165,18 @@ def test_windows_met(spark):
 def test_bins_are_grouped_by_small_rows(spark, tmp_path):
     lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     unknown = lines.limit(3).withColumns({"l_suppkey": F.lit(10**6).cast(lines.schema["l_suppkey"].dataType), "l_tax": F.lit(None).cast(lines.schema["l_tax"].dataType)})
-    lines.unionByName(unknown).write.parquet(str(tmp_path / "lineitem.parquet"))
+    vague = lines.limit(50).withColumn("l_tax", F.lit(None).cast(lines.schema["l_tax"].dataType))
+    lines.limit(400).unionByName(unknown).unionByName(vague).write.parquet(str(tmp_path / "lineitem.parquet"))
     spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").write.parquet(str(tmp_path / "supplier.parquet"))
-    keys = ["chrom", "stage", "bin"]
-    expected = adapters.marked_cells(spark, str(tmp_path)).groupBy(*keys).agg(*[F.max(m).alias(m) for m in MARKS])
+    keys, marked = ["chrom", "stage", "bin"], adapters.marked_cells(spark, str(tmp_path))
+    expected = marked.groupBy(*keys).agg(*[F.max(m).alias(m) for m in MARKS])
+    whole = adapters.bins(spark, str(tmp_path))
     got = adapters.cells(spark, str(tmp_path))
+    inside = whole.join(marked.select(*keys).distinct(), keys, "left_semi")
+    assert got.exceptAll(inside).isEmpty() and inside.exceptAll(got).isEmpty()
+    filled = [F.when(F.col("chrom") != "chr1000000", F.coalesce(m, F.when(F.col("bin") >= 0, 0))).otherwise(F.col(m)).alias(m) for m in MARKS]
+    expected = expected.select(*keys, *filled)
     assert got.exceptAll(expected).isEmpty() and expected.exceptAll(got).isEmpty()
-    plan = adapters.bins(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert whole.count() > got.count() and not got.where(F.col(MARKS[1]).isNull()).isEmpty()
+    plan = whole._jdf.queryExecution().executedPlan().toString()
     assert "partial_bit_or" in plan and "partial_max(H3" not in plan
