@@ -87,8 +87,11 @@ def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete tiling (chrom, stage, bin) with one 0/1 column per mark."""
     lines = marked_cells(spark, sf_dir)
     last = lines.agg(F.max("bin")).scalar()
+    # Suppliers are a small file: spread, or one task would hold the whole grid.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     grid = (
         _axes(spark, sf_dir)
+        .repartition(parts)
         .withColumn("stage", F.explode(F.array(*map(F.lit, STAGES))))
         .withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), last)))
         .select("chrom", "stage", "bin", *[F.lit(0).alias(m) for m in MARKS])
