@@ -9,6 +9,7 @@ strings of special tokens, go through the library as a whole.
 from __future__ import annotations
 
 import re
+import struct
 from functools import cache
 
 import numpy as np
@@ -24,7 +25,12 @@ _PIECE = {
     "word": re.compile(rf"{_CONTRACTED}|[{_LETTERS}]+|[0-9]|[{_MARKS}]+"),
 }
 _OTHER = re.compile(rf"[^\n {_PLAIN}]")
-_UNSAFE_SPACE = re.compile(rf"(?:^| )(?:[^{_PLAIN}]|$)|[^{_PLAIN}](?: |$)")
+#: Other characters next to a space, or first or last; the spaces themselves are looked at by ``_unsafe_space``.
+_UNSAFE_OTHER = re.compile(rf"[^ {_PLAIN}](?:(?= )|\Z|(?<= [\s\S])|(?<=\A[\s\S]))")
+
+
+def _unsafe_space(text: str) -> bool:
+    return text[0] == " " or text[-1] == " " or "  " in text or _UNSAFE_OTHER.search(text) is not None
 
 
 @cache
@@ -61,21 +67,32 @@ class Encoder:
         self.kind = "byte" if self.tokenizer.normalizer is None else "word"
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 else "<u4")
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         self.words, self.units = _Table(self._word), _Table(self._unit)
+        self.spaced = _Table(lambda unit: self._unit(f" {unit}")) if self.kind == "byte" else self.units
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return np.asarray(ids, self.dtype).tobytes()
 
     def _word(self, word: str) -> bytes:
-        shown = word.encode().decode("latin-1").translate(byte_letters())
-        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], self.dtype).tobytes()
+        if word.isascii() and word.isprintable():  # only the space has a stand-in there
+            shown = word.replace(" ", "\u0120")
+        else:
+            shown = word.encode().decode("latin-1").translate(byte_letters())
+        ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def _plain(self, text: str) -> bytes:
         text = text.lower() if self.kind == "word" else text
         return b"".join(map(self.words.__getitem__, _PIECE[self.kind].findall(text)))
 
     def _unit(self, unit: str) -> bytes:
+        """Ids of what stands between two spaces, with the one before it."""
+        if unit.isascii() and unit.isprintable():
+            if unit.lstrip(" ").isalpha():  # a single piece
+                return self._word(unit.lower() if self.kind == "word" else unit)
+            return self._plain(unit)
         return self._whole(unit) if _OTHER.search(unit) else self._plain(unit)
 
     def packed(self, text: str) -> bytes:
@@ -84,11 +101,10 @@ class Encoder:
             return b""
         if any(s in text for s in self.specials):
             return self._whole(text)
-        if _UNSAFE_SPACE.search(text):
+        if _unsafe_space(text):
             return self._whole(text) if _OTHER.search(text) else self._plain(text)
         first, *rest = text.split(" ")
-        units = [first, *map(" ".__add__, rest)] if self.kind == "byte" else [first, *rest]
-        return b"".join(map(self.units.__getitem__, units))
+        return self.units[first] + b"".join(map(self.spaced.__getitem__, rest))
 
     def ids(self, text: str, end: int | None = None) -> np.ndarray:
         tail = b"" if end is None else np.array([end], self.dtype).tobytes()

@@ -651,3 +651,16 @@ def test_pipeline_takes_effect(spark, tmp_path):
     assert 50 in kept["near_dedup"] and 51 not in kept["near_dedup"]
     assert 60 not in kept["decontamination"] and set(kept["packing"]) == set(kept["decontamination"])
     assert set(corpus_pipeline.run(spark, str(tmp_path)).toPandas().doc_id) == set(kept["packing"])
+
+
+def test_a_word_is_kept_once_and_odd_spaces_are_exact():
+    from random import Random
+
+    rng, signs = Random(5), ["a", "Bc", "'s", " ", " ", "  ", "\n", "\t", "é", "漢", "\x7f", "23", ",", "—", "\x85", "'ll", "~"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(14))) for _ in range(3000)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        codec = Encoder(tokenizer_path(name))
+        codec.packed("some plain words of Some text")
+        assert not codec.words  # a word between spaces takes one entry, not one of a piece too
+        for text in texts:
+            assert codec.ids(text).tolist() == codec.tokenizer.encode(text, add_special_tokens=False).ids, text
