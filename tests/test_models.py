@@ -129,6 +129,35 @@ def test_controls_invariants(spark):
         blocked.append((r["chrom"], r["start"], r["end"]))
 
 
+def test_controls_gather_no_table_on_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    seq = {f"c{i}": "".join(rng.choice(list("ACGT"), 700 + 100 * i)) for i in range(9)}
+    chunks = spark.createDataFrame([(c, k, s[500 * k : 500 * k + 500]) for c, s in seq.items() for k in range(-(-len(s) // 500))], "chrom string, chunk long, seq string")
+    lengths = spark.createDataFrame([(c, len(s)) for c, s in seq.items()] + [("c0_", 0), ("cn", None)], "chrom string, length long")
+    targets = spark.createDataFrame([(c, c, 100, 160) for c in seq], "target_id string, chrom string, start long, end long")
+    real, plans = controls.cut_lineage, []
+
+    def noted(df, *args, **kwargs):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, *args, **kwargs)
+
+    monkeypatch.setattr(controls, "cut_lineage", noted)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    got, left = controls.matched_controls(targets, chunks, lengths, fold=1, rounds=2, chunk=500)
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in (got, left)]
+    assert got.count() + left.count() == 9 and len(plans) > 8
+    assert not [p for p in plans if "BroadcastExchange" in p]
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+
+
+def test_places_are_found_in_their_sequences(spark):
+    ends = np.cumsum([5, 0, 4090, 9000, 1, 20000, 3])
+    offsets = spark.createDataFrame([(f"c{i}", int(e - n), int(e)) for i, (e, n) in enumerate(zip(ends, [5, 0, 4090, 9000, 1, 20000, 3]))], "chrom string, `from` long, `to` long")
+    spots = spark.range(int(ends[-1])).withColumnRenamed("id", "spot")
+    got = {r["spot"]: r["chrom"] for r in controls.locate(spots, offsets).collect()}
+    assert got == {s: f"c{int(np.searchsorted(ends, s, side='right'))}" for s in range(int(ends[-1]))}
+
+
 def test_clusters_keep_every_row(spark):
     rng = np.random.default_rng(5)
     points = [(k, [1.0, 2.0]) for k in range(600)] + [
