@@ -6,6 +6,7 @@ or per customer, one bin per ship week, one region per order, one point per orde
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -129,9 +130,9 @@ def rois(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_lineage(pieces.select("chrom", "start", "end", F.col("peak").alias("roi")))
 
 
-def roi_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature matrix of the split regions, written once."""
-    return cut_lineage(features.region_features(rois(spark, sf_dir), words(spark, sf_dir)))
+def roi_features(spark: SparkSession, sf_dir: str, columns: Sequence[str] = ("*",)) -> DataFrame:
+    """Feature matrix of the split regions, written once; only ``columns`` are computed."""
+    return cut_lineage(features.region_features(rois(spark, sf_dir), words(spark, sf_dir)).select(*columns))
 
 
 def roi_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,8 +154,8 @@ def wide_rois(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One region per order: from the order day to its last ship day."""
+def regions(spark: SparkSession, sf_dir: str, columns: Sequence[str] = ("*",)) -> DataFrame:
+    """One region per order: from the order day to its last ship day; only ``columns`` are read and written."""
     shipped = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         F.max("l_shipdate").alias("last_ship")
     )
@@ -170,11 +171,12 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("o_orderpriority").alias("cluster"),
         )
         .filter("end > start")
+        .select(*columns)
     )
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One stranded point per order line; its gene is the part."""
+def points(spark: SparkSession, sf_dir: str, columns: Sequence[str] = ("*",)) -> DataFrame:
+    """One stranded point per order line; its gene is the part. Only ``columns`` are read, shuffled and written."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return cut_lineage(
         table(spark, sf_dir, "lineitem")
@@ -188,4 +190,5 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("l_linenumber"),
             F.col("l_quantity"),
         )
+        .select(*columns)
     )

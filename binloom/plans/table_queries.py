@@ -227,8 +227,8 @@ def length_bands(spark, sf):
     ),
 )
 def density_per_kb(spark, sf):
-    spots = A.points(spark, sf).select("chrom", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"))
-    hits = intervals.count_overlaps(A.regions(spark, sf), spots, name="n_hits")
+    spots = A.points(spark, sf, ["chrom", "pos"]).select("chrom", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"))
+    hits = intervals.count_overlaps(A.regions(spark, sf, ["chrom", "start", "end", "cluster"]), spots, name="n_hits")
     return X.density_per_kb(hits, ["cluster"], "n_hits", F.col("end") - F.col("start")).select("cluster", "n", *r("per_kb"))
 
 
