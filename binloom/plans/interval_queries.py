@@ -328,8 +328,8 @@ def bins_outside_segments(spark, sf):
     ),
 )
 def nearest_point_ties(spark, sf):
-    queries = A.regions(spark, sf).select("chrom", "rid", "start", "end")
-    return intervals.nearest_points(queries, A.points(spark, sf)).select("rid", "near_pos", "distance")
+    queries = A.regions(spark, sf, ["chrom", "rid", "start", "end"])
+    return intervals.nearest_points(queries, A.points(spark, sf, ["chrom", "pos"])).select("rid", "near_pos", "distance")
 
 
 @query(
@@ -343,8 +343,8 @@ def nearest_point_ties(spark, sf):
     ),
 )
 def flank_counts(spark, sf):
-    sides = intervals.flanks(A.regions(spark, sf).select("chrom", "rid", "start", "end"))
-    spots = A.points(spark, sf).select("chrom", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"))
+    sides = intervals.flanks(A.regions(spark, sf, ["chrom", "rid", "start", "end"]))
+    spots = A.points(spark, sf, ["chrom", "pos"]).select("chrom", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"))
     return intervals.count_overlaps(sides, spots, name="n").select("rid", "side", "n")
 
 
